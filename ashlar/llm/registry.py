@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ashlar.llm import mixing
+from ashlar.llm import mixing, secrets
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (mixing,):
+for _module in (secrets, mixing):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
