@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ashlar.llm import mixing, mpeg, secrets, token_counts
+from ashlar.llm import mixing, mpeg, packing, secrets, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (mpeg, token_counts, secrets, mixing):
+for _module in (mpeg, token_counts, secrets, packing, mixing):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
