@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +29,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/ashlar/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether a row is kept from learning: the CRC-32 of the id as text, modulo 5, is 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, what: str) -> DataFrame:
+    """(text, y) of at most ``rows`` labelled documents that are not held out, in the order of a hash of their ids.
+
+    The ids are at most ``rows`` in number, so that they are broadcast; documents are read once.
+    """
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+    ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    return stored(some.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"), what)

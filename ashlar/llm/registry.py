@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ashlar.llm import mixing, mpeg, packing, secrets, token_counts
+from ashlar.llm import mixing, mpeg, packing, secrets, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (mpeg, token_counts, secrets, packing, mixing):
+for _module in (mpeg, token_counts, secrets, packing, mixing, toxicity):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
