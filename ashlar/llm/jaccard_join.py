@@ -233,10 +233,11 @@ def _tile(b: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """Every row of ``docs`` as (doc_id, row_id, class_id, n_links).
+    """Every row of ``docs`` as (doc_id, h, row_id, root, class_id, n_links).
 
     ``class_id`` is the least id in the row's component of links, ``n_links`` how many other rows
-    have a similarity of ``threshold`` or more with it.  ``row_id`` tells rows of one id apart.
+    have a similarity of ``threshold`` or more with it.  ``h`` is the text's hash; ``row_id`` and
+    ``root`` tell rows and components apart where ids repeat.
     """
     if threshold != THRESHOLD:
         raise ValueError("bands and the pruning table are made for a threshold of 0.8")
@@ -299,8 +300,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     labelled = classes.select("cls", "node", "rows", "least_id").join(links, "node", "left").join(roots, "node", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "node"))
     least_ids = labelled.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    per_class = labelled.join(least_ids, "root").select("cls", "class_id", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "h", "row_id", "cls").join(per_class, "cls").select("doc_id", "h", "row_id", "class_id", "n_links")
+    per_class = labelled.join(least_ids, "root").select("cls", "root", "class_id", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select("doc_id", "h", "row_id", "cls").join(per_class, "cls").select("doc_id", "h", "row_id", "root", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with its columns, that have the least id of their class of near duplicates: one for each class."""
+    found = near_duplicates(docs, text, doc_id)
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keepers = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id", "h")).alias("k"))
+    keepers = keepers.select(key("k.doc_id").alias("id"), F.col("k.h").alias("h"))
+    rows = docs.select(F.struct("*").alias("row"), key(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    # rows that repeat both id and text are of one class: one of them stays
+    return rows.join(keepers, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("row.*")
 
 
 def op5_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

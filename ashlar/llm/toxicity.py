@@ -164,8 +164,10 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
     """The rows of ``docs``, with its columns, whose score is below ``threshold``."""
 
     @F.pandas_udf("double")
-    def toxicity(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(texts, Lexicon(model.odds)))
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = Lexicon(model.odds)
+        for texts in batches:
+            yield pd.Series(model.scores(texts, lexicon))
 
     return docs.where(toxicity(F.col(text)) < threshold)
 
