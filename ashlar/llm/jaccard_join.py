@@ -137,6 +137,8 @@ def prune(sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     alive = np.arange(len(left))
     matches = np.zeros(len(left), dtype=np.int32)
     for n, least in _LEAST.items():
+        if n > sig.shape[1]:
+            break
         part = sig[:, n - STEP : n]
         for lo in range(0, len(alive), 65_536):
             some = alive[lo : lo + 65_536]
@@ -189,14 +191,14 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]
     return out
 
 
-def _tile(b: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def tile_links(b: pd.DataFrame, threshold: float, bands: int = BANDS, rows_in_band: int = ROWS) -> pd.DataFrame:
     """Links within a tile: rows (node, links) and, as (node, other), a spanning forest."""
     known = WordHashes()
     b = b.sort_values("node").reset_index(drop=True)
     block, node, rows = b["block"].to_numpy(), b["node"].to_numpy(), b["rows"].to_numpy()
     sets = [shingles(t, known) for t in b["text"]]
     sig = np.stack([np.frombuffer(s, dtype="<u4") for s in b["sig"]])
-    keys = band_keys(sig)
+    keys = band_keys(sig, bands, rows_in_band)
     size = np.array([len(s) for s in sets])
     i, j = int(b["i"].iloc[0]), int(b["j"].iloc[0])
     if i == j:
@@ -292,7 +294,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     tiles = members.select(
         "root", "node", "rows", "sig", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
     ).select("*", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    found = tiles.groupBy("root", "i", "j").applyInPandas(lambda b: _tile(b, threshold), "node long, other long, links long")
+    found = tiles.groupBy("root", "i", "j").applyInPandas(lambda b: tile_links(b, threshold), "node long, other long, links long")
     found = stored(found, "jaccard-links")
 
     links = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
