@@ -9,7 +9,7 @@ at the same words wherever it stands.  Paragraphs under ``LEAST_WORDS`` words ar
 3. Classes that share a band are gathered into components and verified exactly, by Jaccard on
    their shingle sets, in tiles of bounded size.
 4. Components of verified links, and classes that occur more than once, are clusters of repeated
-   paragraphs.  The first occurrence of a cluster (least id) stays, the others are removals.
+   paragraphs, if they meet in two documents or more.  The first occurrence of a cluster (least id) stays, the others are removals.
 5. Repeated paragraphs of a document with at most ``GAP`` words between them make one passage;
    passages of ``LEAST_PASSAGE`` repeated words or more are given.  The bound lies under 50
    because a passage that begins or ends within a sentence shares that paragraph with what
@@ -80,7 +80,7 @@ def paragraphs(text: str | None) -> Iterator[tuple[int, int, int]]:
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(row_id, doc_id, no, start, end, words, cluster, keep) for every paragraph that occurs again, exactly or nearly."""
+    """(row_id, doc_id, no, start, end, words, cluster, keep) for every paragraph that another document has, exactly or nearly."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
 
@@ -133,7 +133,9 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     often = classes.where("rows > 1").select(F.col("cls").alias("node"))
     clusters = often.unionByName(links.select("node")).distinct().join(links, "node", "left").select(F.col("node").alias("cls"), F.coalesce("root", "node").alias("cluster"))
     again = stored(cut_up.drop("sig").join(clusters, "cls"), "paragraphs-repeated")
-    kept = again.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id", "no")).alias("k"))
+    kept = again.groupBy("cluster").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id", "no")).alias("k"), (F.min("row_id") < F.max("row_id")).alias("across")
+    ).where("across")  # a document that repeats itself alone is left as it is
     keep = (F.col("k.row_id") == F.col("row_id")) & (F.col("k.no") == F.col("no"))
     return again.join(kept, "cluster").select("row_id", "doc_id", "no", "start", "end", "words", "cluster", keep.alias("keep"))
 
