@@ -1 +1,4 @@
-"""See the package README."""
+"""Scalar and aggregate functions with the dialect's rules, as functions of columns.
+
+They stay on the JVM side (no Python UDF), except where a module says so.
+"""

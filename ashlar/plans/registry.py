@@ -49,3 +49,7 @@ def pricing_summary(spark, sf_dir):
         )
         .orderBy("l_returnflag", "l_linestatus")
     )
+
+
+# the modules register their queries as they are imported
+from ashlar.plans import aggregation, features, filters, joining, ordering, scalars, subqueries  # noqa: E402, F401

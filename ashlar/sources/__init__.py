@@ -1 +1 @@
-"""See the package README."""
+"""Reading and writing: delimited text, fixed binary records, parser plug-ins, exports, named memory tables."""
