@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -160,8 +161,6 @@ def password(s: Column) -> Column:
 
 def compress(s: Column) -> Column:
     """Length in four bytes, low byte first, then zlib; needs Python (Arrow batches)."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:
         import struct
@@ -173,8 +172,6 @@ def compress(s: Column) -> Column:
 
 
 def uncompress(b: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         import zlib
@@ -191,6 +188,5 @@ def uncompress(b: Column) -> Column:
 
 
 def uncompressed_length(b: Column) -> Column:
-    first = F.hex(F.reverse(F.array(*[F.substring(b, i, 1) for i in range(1, 5)]))[0])
     low_first = F.concat(*[F.hex(F.substring(b, i, 1)) for i in (4, 3, 2, 1)])
-    return F.when(F.octet_length(b) == 0, F.lit(0).cast("long")).when(first.isNotNull(), F.conv(low_first, 16, 10).cast("long"))
+    return F.when(F.octet_length(b) == 0, F.lit(0).cast("long")).otherwise(F.conv(low_first, 16, 10).cast("long"))

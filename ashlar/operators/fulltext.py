@@ -54,7 +54,7 @@ def boolean_condition(text: Column, query: str) -> Column:
     """Boolean mode: ``+must -not word* "a phrase" (group)``; ``> < ~`` only change the rank and are read over."""
     low = F.lower(F.coalesce(text, F.lit("")))
     held = words(text, least=1)
-    tokens = re.findall(r'([+\-~<>]*)\s*(?:"([^"]*)"|\(([^)]*)\)|([^\s()"]+))', query.lower())
+    tokens = re.findall(r'\s*([+\-~<>]*)(?:"([^"]*)"|\(([^)]*)\)|([^\s()"]+))', query.lower())
     must, may, never = [], [], []
     for sign, phrase, group, word in tokens:
         if phrase:
