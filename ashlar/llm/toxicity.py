@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
 
     # at most ``rows`` rows of 15 numbers
     got = sample.mapInPandas(run, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
-    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), dtype=float)
     return Model(odds, Calibrated().fit(x, got["y"].to_numpy(dtype=float)))
 
 
