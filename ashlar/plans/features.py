@@ -165,3 +165,55 @@ def pivot(spark, d):
 def merge_union_tables(spark, d):
     parts = [table(spark, d, t).select(F.col(c).alias("k")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@register("xml_values", "SELECT n_nationkey, n_name AS name, n_regionkey::VARCHAR || ' x' AS parts FROM nation")
+def xml_values(spark, d):
+    from ashlar.functions import xml
+
+    doc = F.concat(F.lit("<a><n>"), F.col("n_name"), F.lit("</n><p>"), F.col("n_regionkey").cast("string"), F.lit("</p><p>x</p></a>"))
+    return table(spark, d, "nation").select("n_nationkey", xml.extract_value(doc, "/a/n").alias("name"), xml.extract_value(doc, "/a/p").alias("parts"))
+
+
+@register("spatial_rectangles", "SELECT a.s_suppkey AS a, b.n_nationkey AS b FROM supplier a JOIN nation b ON abs(a.s_suppkey % 25 - b.n_nationkey) <= 2 WHERE a.s_suppkey < 30")
+def spatial_rectangles(spark, d):
+    """Rectangles two wide meet within a range join on their left ends, then by the exact predicate."""
+    from ashlar.functions import spatial
+    from ashlar.operators import joins
+
+    wkt = lambda x: F.concat(F.lit("LINESTRING("), x.cast("string"), F.lit(" 0,"), (x + 2).cast("string"), F.lit(" 1)"))
+    a = table(spark, d, "supplier").where("s_suppkey < 30").select("s_suppkey", spatial.rectangle(wkt(F.col("s_suppkey") % 25)).alias("ra")).withColumn("x", F.col("ra.x1"))
+    b = table(spark, d, "nation").select("n_nationkey", spatial.rectangle(wkt(F.col("n_nationkey"))).alias("rb"))
+    b = b.withColumn("lo", F.col("rb.x1") - 2).withColumn("hi", F.col("rb.x2"))
+    met = joins.range_join(a, b, "x", "lo", "hi", 4.0).where(spatial.intersects(F.col("ra"), F.col("rb")))
+    return met.select(F.col("s_suppkey").alias("a"), F.col("n_nationkey").alias("b"))
+
+
+@register("aes_round_trip", "SELECT c_custkey, c_name AS back, 1 AS wrong_is_null FROM customer")
+def aes_round_trip(spark, d):
+    from ashlar.functions import crypto
+
+    secret = crypto.aes_encrypt(F.col("c_name"), "a key longer than sixteen bytes")
+    c = table(spark, d, "customer").select("c_custkey", "c_name", secret.alias("e"))
+    return c.select(
+        "c_custkey", crypto.aes_decrypt(F.col("e"), "a key longer than sixteen bytes").cast("string").alias("back"),
+        F.coalesce((crypto.aes_decrypt(F.col("e"), "another").cast("string") != F.col("c_name")).cast("int"), F.lit(1)).alias("wrong_is_null"),
+    )
+
+
+@register("metadata_tables", "SELECT 'n_nationkey' AS column_name, 1 AS ordinal_position, 'int' AS data_type UNION ALL SELECT 'n_name', 2, 'string' UNION ALL SELECT 'n_regionkey', 3, 'int'")
+def metadata_tables(spark, d):
+    from ashlar.sources import catalog
+
+    table(spark, d, "nation").createOrReplaceTempView("ashlar_nation")
+    return catalog.columns(spark, "ashlar_nation").select("column_name", "ordinal_position", "data_type")
+
+
+@register("sorted_write", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01' AND o_orderdate < TIMESTAMP '1996-07-01' GROUP BY o_orderstatus")
+def sorted_write(spark, d):
+    """Rows are laid out by date first, so that the filter skips row groups."""
+    path = scratch(spark) + "/sorted"
+    delimited.write_sorted(table(spark, d, "orders"), path, ["o_orderdate"])
+    t = F.col("o_orderdate")
+    kept = spark.read.parquet(path).where((t >= F.lit("1996-06-01").cast("timestamp")) & (t < F.lit("1996-07-01").cast("timestamp")))
+    return kept.groupBy("o_orderstatus").agg(F.count("*").alias("n"))

@@ -14,7 +14,9 @@ def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], width: str, late: str = "1 hour") -> DataFrame:
     """Counts and sums by tumbling window; on a stream, rows later than ``late`` are let go."""
-    events = events.withWatermark(time, late) if events.isStreaming else events
+    if events.isStreaming:
+        # watermarks need a time with a zone
+        events = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     out = events.groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), *keys, "n", "total")
 
