@@ -165,3 +165,55 @@ def extract(unit: str, d: Column) -> Column:
     for name in names[a + 1 : b + 1]:
         out = out * 100 + parts[name][0](d)
     return out
+
+
+def adddate(d: Column, days: int) -> Column:
+    return F.date_add(d, days)
+
+
+def subdate(d: Column, days: int) -> Column:
+    return F.date_sub(d, days)
+
+
+def addtime(ts: Column, seconds: int) -> Column:
+    return ts.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+
+
+def subtime(ts: Column, seconds: int) -> Column:
+    return addtime(ts, -seconds)
+
+
+def convert_tz(ts: Column, source: str, target: str) -> Column:
+    return F.convert_timezone(F.lit(source), F.lit(target), ts.cast("timestamp_ntz"))
+
+
+def timestampadd(unit: str, n: int, ts: Column) -> Column:
+    return date_add(ts, n, unit.lower())
+
+
+def timestampdiff(unit: str, a: Column, b: Column) -> Column:
+    """Whole units from a to b."""
+    return F.timestamp_diff(unit.upper(), a.cast("timestamp"), b.cast("timestamp"))
+
+
+def get_format(kind: str, region: str) -> str:
+    """GET_FORMAT: the usual formats by region."""
+    dates = {"USA": "%m.%d.%Y", "JIS": "%Y-%m-%d", "ISO": "%Y-%m-%d", "EUR": "%d.%m.%Y", "INTERNAL": "%Y%m%d"}
+    times = {"USA": "%h:%i:%s %p", "JIS": "%H:%i:%s", "ISO": "%H:%i:%s", "EUR": "%H.%i.%s", "INTERNAL": "%H%i%s"}
+    both = {"USA": "%Y-%m-%d %H.%i.%s", "JIS": "%Y-%m-%d %H:%i:%s", "ISO": "%Y-%m-%d %H:%i:%s", "EUR": "%Y-%m-%d %H.%i.%s", "INTERNAL": "%Y%m%d%H%i%s"}
+    return {"DATE": dates, "TIME": times, "DATETIME": both}[kind.upper()][region.upper()]
+
+
+def time_format(t: Column, fmt: str = "%H:%i:%s") -> Column:
+    """A TIME as text; hours may pass 24."""
+    s = time_to_sec(t)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    whole = F.abs(s)
+    hours = F.floor(whole / 3600)
+    parts = {"%H": F.when(hours < 100, two(hours)).otherwise(hours.cast("string")), "%k": hours.cast("string"), "%i": two(F.floor(whole / 60) % 60), "%s": two(whole % 60)}
+    out, i = [F.when(s < 0, "-").otherwise("")], 0
+    while i < len(fmt):
+        step = 2 if fmt[i : i + 2] in parts else 1
+        out.append(parts[fmt[i : i + 2]] if step == 2 else F.lit(fmt[i]))
+        i += step
+    return F.concat(*out)

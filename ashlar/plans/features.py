@@ -217,3 +217,11 @@ def sorted_write(spark, d):
     t = F.col("o_orderdate")
     kept = spark.read.parquet(path).where((t >= F.lit("1996-06-01").cast("timestamp")) & (t < F.lit("1996-07-01").cast("timestamp")))
     return kept.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@register("dialect_text", "SELECT n_regionkey, count(*) AS n, round(stddev_pop(n_nationkey), 6) AS s, max(strlen(n_name))::INT AS l FROM nation GROUP BY n_regionkey ORDER BY n_regionkey LIMIT 3 OFFSET 1")
+def dialect_text(spark, d):
+    from ashlar import dialect
+
+    text = "SELECT SQL_CALC_FOUND_ROWS n_regionkey, count(*) AS n, round(std(n_nationkey), 6) AS s, max(length(n_name)) AS l FROM nation GROUP BY n_regionkey ORDER BY n_regionkey LIMIT 1, 3"
+    return dialect.query(spark, text, nation=table(spark, d, "nation"))

@@ -35,6 +35,8 @@ def cases():
         "too late": (dates.date_add(D("9999-12-31"), 1, "day"), None), "month end": (F.date_format(dates.date_add(D("2000-01-31"), 1, "month"), "yyyy-MM-dd"), "2000-02-29"),
         "week 0": (dates.week(D("2008-02-20"), 0), 7), "week 1": (dates.week(D("2008-02-20"), 1), 8), "week 53": (dates.week(D("2008-12-31"), 1), 53), "week 0 start": (dates.week(D("2000-01-01"), 0), 0), "week 2": (dates.week(D("2000-01-01"), 2), 52),
         "yearweek": (dates.yearweek(D("1987-01-01"), 0), 198652), "year_month": (dates.extract("year_month", D("1999-07-02")), 199907), "day_minute": (dates.extract("day_minute", L("1999-07-02 01:02:03").cast("timestamp")), 20102),
+        "tz": (F.date_format(dates.convert_tz(L("2004-01-01 12:00:00"), "GMT", "Europe/Moscow"), "yyyy-MM-dd HH:mm"), "2004-01-01 15:00"), "timestampdiff": (dates.timestampdiff("month", L("2003-02-01"), L("2003-05-01")), 3),
+        "time_format": (dates.time_format(dates.parse_time(L("300:55:50")), "%H:%i:%s"), "300:55:50"), "addtime": (F.date_format(dates.addtime(L("1997-12-31 23:59:59"), 1), "yyyy-MM-dd HH:mm:ss"), "1998-01-01 00:00:00"),
         "time": (dates.time_to_sec(dates.parse_time(L("09:00:00"))), 32400), "time 2": (dates.time_to_sec(dates.parse_time(L("19:38:34"))), 70714), "time digits": (dates.time_to_sec(dates.parse_time(L("101112"))), 36672),
         "time of days": (dates.time_to_sec(dates.parse_time(L("10 22:22"))), 262 * 3600 + 22 * 60), "maketime": (dates.maketime(L(12), L(61), L(0)), None), "sec_to_time": (dates.time_to_sec(dates.sec_to_time(L(9999999))), 838 * 3600 + 59 * 60 + 59),
     }
@@ -45,3 +47,12 @@ def test_golden_values(spark):
     row = spark.range(1).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(found.values())]).first()
     wrong = {k: (got, want) for (k, (_, want)), got in zip(found.items(), row, strict=True) if got != want}
     assert not wrong
+
+
+def test_dialect_text(spark):
+    from ashlar import dialect
+
+    out = dialect.translate("SELECT STRAIGHT_JOIN a XOR b, 'LIMIT 1,2 XOR', STD(x) FROM t LIMIT 5, 10 -- LIMIT 1,2")
+    assert "LIMIT 10 OFFSET 5" in out and "'LIMIT 1,2 XOR'" in out and "((a) <> (b))" in out and "stddev_pop(x)" in out and out.endswith("-- LIMIT 1,2")
+    row = dialect.query(spark, "SELECT elt(2, 'a') AS e, sqrt(-1) AS s, quote('it''s') AS q, to_days(DATE'2000-07-03') AS d, strcmp('a', 'b') AS c, makedate(1997, 32) AS m FROM DUAL").first()
+    assert (row["e"], row["s"], row["d"], row["c"], str(row["m"])) == (None, None, 730669, -1, "1997-02-01")
