@@ -94,17 +94,21 @@ class MinHash:
             while end < len(sets) and (end == at or total + len(sets[end]) <= 65_536):
                 total += len(sets[end])
                 end += 1
-            x = np.concatenate(sets[at:end])
-            x = (x ^ (x >> np.uint64(32))).astype(np.uint32)
-            starts = np.cumsum([0] + [len(s) for s in sets[at : end - 1]])
-            for k in range(len(self.a)):
-                y = x * self.a[k]
-                y ^= y >> np.uint32(15)
-                y += self.b[k]
-                out[at:end, k] = np.minimum.reduceat(y, starts)
+            out[at:end] = self.minima(np.concatenate(sets[at:end]), np.cumsum([0] + [len(s) for s in sets[at : end - 1]]))
             at = end
         return out
 
+    def minima(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The same for sets laid end to end, each beginning at one of ``starts``."""
+        out = np.empty((len(starts), len(self.a)), dtype=np.uint32)
+        x = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+        for k in range(len(self.a)):
+            y = x * self.a[k]
+            y ^= y >> np.uint32(15)
+            y += self.b[k]
+            out[:, k] = np.minimum.reduceat(y, starts)
+        return out
+
 
 def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A 64-bit key for each band, the band's number mixed in."""

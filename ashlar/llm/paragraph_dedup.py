@@ -4,7 +4,7 @@ A document's *paragraphs* are the stretches between ends of lines and of sentenc
 more than ``LONG`` words are cut after words whose hash says so, which puts the cuts of a passage
 at the same words wherever it stands.  Paragraphs under ``LEAST_WORDS`` words are left out.
 
-1. Paragraphs with equal shingle sets make a class (a 64-bit hash of the set).
+1. Paragraphs with equal words in equal order make a class (a 64-bit hash of them).
 2. Bands are tuned for recall (:func:`tune`): at 0.8 the chosen ones miss 1 pair in 600.
 3. Classes that share a band are gathered into components and verified exactly, by Jaccard on
    their shingle sets, in tiles of bounded size.
@@ -21,18 +21,18 @@ others; whole texts are read; no rows give no rows; other columns play no part.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ashlar.llm.common import stored, table
 from ashlar.llm.components import components
-from ashlar.llm.jaccard_join import BLOCK, THRESHOLD, MinHash, WordHashes, shingles, tile_links
+from ashlar.llm.jaccard_join import BLOCK, SHINGLE, THRESHOLD, MinHash, tile_links
+from ashlar.llm.jaccard_join import _mix as mix64
+from ashlar.llm.quality_mil import _inverse, _powers
 
 LEAST_WORDS = 7
 LONG = 16
@@ -42,8 +42,7 @@ GAP = 40
 RECALL = 0.998
 MOST_BANDS = 4
 
-ENDS = re.compile(r"(?<![.!?])[.!?][\"')\]]*\s+|\n+")
-TOKENS = re.compile(r"\S+")
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, most_bands: int = MOST_BANDS) -> tuple[int, int]:
@@ -58,25 +57,68 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, most_bands: int =
 BANDS, ROWS = tune()
 
 
-def paragraphs(text: str | None) -> Iterator[tuple[int, int, int]]:
-    """(start, end, words) of each paragraph with enough words."""
-    text = text or ""
-    at = 0
-    for stop in [*(m.span() for m in ENDS.finditer(text)), (len(text), len(text))]:
-        piece = text[at : stop[0]]
-        n = piece.count(" ") + 1
-        if n > LONG:
-            words = list(TOKENS.finditer(piece))
-            first = 0
-            for i, w in enumerate(words):
-                last = i == len(words) - 1
-                if last or (i - first + 1 >= LEAST_WORDS and xxhash.xxh32_intdigest(w[0].encode("utf-8", "replace")) % CUT == 0):
-                    if i - first + 1 >= LEAST_WORDS:
-                        yield at + words[first].start(), at + w.end(), i - first + 1
-                    first = i + 1
-        elif n >= LEAST_WORDS and (n := len(piece.split())) >= LEAST_WORDS:
-            yield at, stop[0], n
-        at = stop[1]
+def _bytes(members: bytes) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(members)] = True
+    return out
+
+
+_LETTER = _bytes(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + bytes(range(128, 256)))
+_STOP, _BLANK = _bytes(b".!?"), _bytes(b" \t\r\n")
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends) in code points, (first, last) word of each paragraph with enough words, and a 64-bit hash of every word.
+
+    Words are runs of letters, digits and bytes outside ASCII; capitals of ASCII count as small.
+    """
+    raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], _LETTER[raw], [False])).view(np.int8)))
+    begins, ends = edge[0::2], edge[1::2]
+    if len(begins) < LEAST_WORDS:
+        return (np.empty(0, dtype=np.int64),) * 4 + (np.empty(0, dtype=np.uint64),)
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((_LOWER[raw] + np.uint64(1)) * _powers(len(raw)), dtype=np.uint64)))
+    h = mix64((total[ends] - total[begins]) * _inverse(len(raw))[begins])
+
+    # a word ends a sentence if one mark and a blank follow it, and a line if a line end comes before the next word
+    after = np.minimum(ends + 1, len(raw) - 1)
+    lines = np.concatenate(([0], np.cumsum(raw == 10)))
+    stop = _STOP[raw[np.minimum(ends, len(raw) - 1)]] & _BLANK[raw[after]] & (ends + 1 < len(raw))
+    stop[:-1] |= lines[begins[1:]] > lines[ends[:-1]]
+    stop[-1] = True
+    where = np.flatnonzero(stop)
+    size = np.diff(np.concatenate(([-1], where)))
+    cut = (np.repeat(size, size) > LONG) & (h % np.uint64(CUT) == 0)
+    first, bounds = 0, []
+    for i, whole in zip((c := np.flatnonzero(stop | cut)).tolist(), stop[c].tolist(), strict=True):
+        if i + 1 - first >= LEAST_WORDS:
+            bounds.append((first, i))
+            first = i + 1
+        elif whole:
+            first = i + 1
+    at = np.array(bounds, dtype=np.int64).reshape(-1, 2)
+    chars = np.cumsum((raw & 0xC0) != 0x80)
+    return chars[begins[at[:, 0]]] - 1, chars[ends[at[:, 1]] - 1], at[:, 0], at[:, 1], h
+
+
+def sign(h: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: MinHash) -> tuple[np.ndarray, np.ndarray]:
+    """For paragraphs, ranges of the word hashes ``h``: a 64-bit hash of each one's words in order, and MinHash values of its shingles.
+
+    All paragraphs are worked on at once; repeats among a paragraph's shingles don't change minima.
+    """
+    n = last - first + 1
+    starts = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(starts, n)
+    h = h[np.repeat(first, n) + place]
+    cls = np.add.reduceat(mix64(h ^ mix64(place.astype(np.uint64) + np.uint64(1))), starts)
+    acc = np.full(len(h) - SHINGLE + 1, SHINGLE, dtype=np.uint64)
+    for i in range(SHINGLE):
+        acc = mix64(acc * _ODD + h[i : len(h) - SHINGLE + 1 + i])
+    inside = (place + SHINGLE <= np.repeat(n, n))[: len(acc)]
+    counts = n - SHINGLE + 1
+    return mix64(cls + n.astype(np.uint64)).view(np.int64), hashes.minima(acc[inside], np.cumsum(counts) - counts)
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -85,22 +127,24 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     rows = rows.withColumn("h", F.xxhash64("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, hashes = WordHashes(), MinHash(BANDS * ROWS)
+        hashes = MinHash(BANDS * ROWS)
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("row_id", "doc_id", "h", "no", "start", "end", "words")}
-            sets = []
-            for row_id, doc, h, t in zip(b["row_id"], b["doc_id"], b["h"], b["text"], strict=True):
-                for no, (start, end, n) in enumerate(paragraphs(t)):
-                    s = shingles(t[start:end], known)
-                    if len(s):
-                        sets.append(s)
-                        for k, v in zip(out, (row_id, doc, h, no, start, end, n), strict=True):
-                            out[k].append(v)
-            frame = pd.DataFrame(out)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            frame["cls"] = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            frame["sig"] = [s.astype("<u4").tobytes() for s in hashes.signatures(sets)] if sets else []
-            yield frame
+            found = [paragraphs(t) for t in b["text"]]
+            n = np.array([len(x[0]) for x in found], dtype=np.int64)
+            if not n.sum():
+                continue
+            words = np.cumsum([0, *(len(x[4]) for x in found[:-1])]) if len(found) > 1 else np.zeros(1, dtype=np.int64)
+            starts, ends, first, last = (np.concatenate([x[k] for x in found]) for k in range(4))
+            shift = np.repeat(words, n)
+            cls, sigs = sign(np.concatenate([x[4] for x in found]), first + shift, last + shift, hashes)
+            part = lambda c: b[c].repeat(n).reset_index(drop=True)  # noqa: B023, E731
+            no = np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n)
+            yield pd.DataFrame(
+                {
+                    "row_id": part("row_id"), "doc_id": part("doc_id").astype("Int64"), "h": part("h"), "no": no, "start": starts, "end": ends, "words": last - first + 1,
+                    "cls": cls, "sig": [x.tobytes() for x in sigs],
+                }
+            )
 
     schema = "row_id long, doc_id long, h long, no int, start int, end int, words int, cls long, sig binary"
     cut_up = stored(rows.withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(cut, schema), "paragraphs")
@@ -123,11 +167,17 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     r, w = rows.alias("r"), wanted.alias("w")
     texts = r.join(w, F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.h") == F.col("w.h")), "left_semi").dropDuplicates(["doc_id", "h"])
     m, t = members.alias("m"), texts.alias("t")
+    packed = members
     piece = F.substring(F.col("t.text"), F.col("m.start") + 1, F.col("m.end") - F.col("m.start"))
     members = m.join(t, F.col("m.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("m.h") == F.col("t.h"))).select("m.root", "m.node", "m.rows", "m.sig", "m.block", "m.blocks", piece.alias("text"))
-    tiles = members.select("root", "node", "rows", "sig", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    tiles = members.select("root", "node", "rows", "sig", "text", "block", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     tiles = tiles.select("*", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    found = tiles.groupBy("root", "i", "j").applyInPandas(lambda b: tile_links(b, THRESHOLD, BANDS, ROWS), "node long, other long, links long")
+    # small components share tiles: those of different ones have no band in common, so that no pair of them is compared
+    small = packed.where("blocks = 1").count()
+    packs = max(1, -(-small // (BLOCK * 3 // 4)))
+    shared = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs)))
+    tiles = tiles.withColumn("tile", F.when(shared.isNotNull(), -1 - shared).otherwise(F.col("root"))).withColumn("shared", shared.isNotNull())
+    found = tiles.drop("blocks").groupBy("shared", "tile", "i", "j").applyInPandas(lambda b: tile_links(b, THRESHOLD, BANDS, ROWS), "node long, other long, links long")
     links = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
 
     often = classes.where("rows > 1").select(F.col("cls").alias("node"))
