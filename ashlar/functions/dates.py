@@ -137,7 +137,7 @@ def week(d: Column, mode: int = 0) -> Column:
         jan = F.make_date(year, F.lit(1), F.lit(1))
         at = place(jan)
         ahead = (at != 0) if first_day else (at > 3)
-        return F.date_sub(jan, at) if False else F.when(ahead, F.date_add(jan, (7 - at).cast("int"))).otherwise(F.date_sub(jan, at.cast("int")))
+        return F.when(ahead, F.date_add(jan, (7 - at).cast("int"))).otherwise(F.date_sub(jan, at.cast("int")))
 
     d = F.to_date(d)
     y = F.year(d)
