@@ -1,8 +1,12 @@
-"""Repeated passages by MinHash banding of paragraphs.
+"""Repeated passages by MinHash banding of paragraphs and by windows of words.
 
 A document's *paragraphs* are the stretches between ends of lines and of sentences; stretches of
-more than ``LONG`` words are cut after words whose hash says so, which puts the cuts of a passage
-at the same words wherever it stands.  Paragraphs under ``LEAST_WORDS`` words are left out.
+more than ``LONG`` words are cut after words whose hash says so.  Where these cuts fall may depend
+on what stands before a passage, and paragraphs under ``LEAST_WORDS`` words are left out; so a
+document has *windows* besides, of ``PIECE`` words in a row, whatever marks or line ends stand
+between them.  Of any ``PICK`` neighbouring windows the one of the least hash is taken, which
+depends on those words alone: a run of ``PIECE + PICK - 1`` words that two documents share gives
+both an equal window, except that equal windows side by side, as in a run of one word, are thinned.
 
 1. Paragraphs with equal words in equal order make a class (a 64-bit hash of them).
 2. Bands are tuned for recall (:func:`tune`): at 0.8 the chosen ones miss 1 pair in 600.
@@ -13,7 +17,12 @@ at the same words wherever it stands.  Paragraphs under ``LEAST_WORDS`` words ar
 5. Repeated paragraphs of a document with at most ``GAP`` words between them make one passage;
    passages of ``LEAST_PASSAGE`` repeated words or more are given.  The bound lies under 50
    because a passage that begins or ends within a sentence shares that paragraph with what
-   stands around it.
+   around it.
+6. Windows that occur in two documents or more are repeated paragraphs too; words that several
+   paragraphs of a passage hold are counted once.
+
+Words are runs of letters and digits; each character of a script that is written without blanks
+is a word.
 
 Defined results: null and empty texts have no paragraphs; repeated rows are documents like any
 others; whole texts are read; no rows give no rows; other columns play no part.
@@ -37,6 +46,8 @@ from ashlar.llm.quality_mil import _inverse, _powers
 LEAST_WORDS = 7
 LONG = 16
 CUT = 4
+PIECE = 20
+PICK = 16
 LEAST_PASSAGE = 20
 GAP = 40
 RECALL = 0.998
@@ -64,21 +75,72 @@ def _bytes(members: bytes) -> np.ndarray:
 
 
 _LETTER = _bytes(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + bytes(range(128, 256)))
+#: First bytes of the scripts that are written without blanks.
+_SOLO = _bytes(bytes([0xE0, 0xE1, *range(0xE3, 0xEA), 0xF0]))
 _STOP, _BLANK = _bytes(b".!?"), _bytes(b" \t\r\n")
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, ends) of the words, in bytes."""
+    letter = np.concatenate(([False], _LETTER[raw], [False]))
+    if not _SOLO[raw].any():
+        edge = np.flatnonzero(np.diff(letter.view(np.int8)))
+        return edge[0::2], edge[1::2]
+    b1, b2 = (np.concatenate((raw[k:], np.zeros(k, dtype=np.uint8)))[: len(raw)] for k in (1, 2))
+    # ideographs, kana and the like; Thai and Lao; Burmese; Khmer; rarer ideographs
+    solo = ((raw >= 0xE3) & (raw <= 0xE9)) | ((raw == 0xE0) & (b1 >= 0xB8) & (b1 <= 0xBB)) | ((raw == 0xE1) & np.isin(b1, (0x80, 0x81, 0x82, 0x9E, 0x9F)))
+    solo |= (raw == 0xF0) & (b1 >= 0xA0)
+    blank = np.flatnonzero((raw == 0xE3) & (b1 == 0x80) & ((b2 <= 0x83) | ((b2 >= 0x88) & (b2 <= 0x91))))  # their blank, full stop, comma and brackets
+    for k in range(3):
+        letter[1 + blank + k] = False
+    starts = np.flatnonzero(solo)
+    new = np.zeros(len(raw) + 1, dtype=bool)
+    new[starts] = True
+    new[np.minimum(starts + np.where(raw[starts] == 0xF0, 4, 3), len(raw))] = True
+    before, here = letter[:-1], letter[1:]
+    return np.flatnonzero(here & (new | ~before)), np.flatnonzero(before & (new | ~here))
+
+
+def _least(a: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        a, done = np.minimum(a[:-step], a[step:]), done + step
+    return a
+
+
+def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, 64-bit hash) of the windows of ``PIECE`` words that are taken, out of the hashes of a text's words."""
+    n = len(h) - PIECE + 1
+    if n < 1:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * _powers(len(h)), dtype=np.uint64)))
+    g = mix64((total[PIECE:] - total[:-PIECE]) * _inverse(len(h))[:n])
+    width = min(PICK, n)
+    edge = np.zeros(width - 1, dtype=np.uint64)
+    # a window is taken if it is the least of some ``width`` neighbours
+    at = np.flatnonzero(g == ~_least(~np.concatenate((edge, _least(g, width), edge)), width))
+    alone = np.concatenate(([True], g[at[1:]] != g[at[:-1]]))
+    begin = np.maximum.accumulate(np.where(alone, np.arange(len(at)), 0))
+    step = (at - at[begin]) // (PICK // 2)
+    at = at[alone | np.concatenate(([True], step[1:] != step[:-1]))]
+    return at, g[at].view(np.int64)
+
+
+def paragraphs(text: str | None) -> tuple[np.ndarray, ...]:
     """(starts, ends) in code points, (first, last) word of each paragraph with enough words, and a 64-bit hash of every word.
 
-    Words are runs of letters, digits and bytes outside ASCII; capitals of ASCII count as small.
+    After these (starts, ends), first words and hashes of the windows.  Words are runs of letters, digits and
+    bytes outside ASCII, but for scripts without blanks; capitals of ASCII count as small.
     """
     raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], _LETTER[raw], [False])).view(np.int8)))
-    begins, ends = edge[0::2], edge[1::2]
+    begins, ends = _words(raw)
+    none = np.empty(0, dtype=np.int64)
     if len(begins) < LEAST_WORDS:
-        return (np.empty(0, dtype=np.int64),) * 4 + (np.empty(0, dtype=np.uint64),)
+        return (none,) * 4 + (np.empty(0, dtype=np.uint64),) + (none,) * 4
     total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((_LOWER[raw] + np.uint64(1)) * _powers(len(raw)), dtype=np.uint64)))
     h = mix64((total[ends] - total[begins]) * _inverse(len(raw))[begins])
 
@@ -100,7 +162,9 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             first = i + 1
     at = np.array(bounds, dtype=np.int64).reshape(-1, 2)
     chars = np.cumsum((raw & 0xC0) != 0x80)
-    return chars[begins[at[:, 0]]] - 1, chars[ends[at[:, 1]] - 1], at[:, 0], at[:, 1], h
+    head, hashes = windows(h)
+    wide = chars[begins[head]] - 1, chars[ends[head + PIECE - 1] - 1], head, hashes
+    return chars[begins[at[:, 0]]] - 1, chars[ends[at[:, 1]] - 1], at[:, 0], at[:, 1], h, *wide
 
 
 def sign(h: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: MinHash) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +186,10 @@ def sign(h: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: MinHash) ->
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(row_id, doc_id, no, start, end, words, cluster, keep) for every paragraph that another document has, exactly or nearly."""
+    """(row_id, doc_id, no, start, end, at, words, wide, cluster, keep) for every paragraph or (``wide``) window that another document has, exactly or nearly.
+
+    ``at`` is the number of its first word.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
 
@@ -130,6 +197,17 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
         hashes = MinHash(BANDS * ROWS)
         for b in batches:
             found = [paragraphs(t) for t in b["text"]]
+            part = lambda c, n: b[c].repeat(n).reset_index(drop=True)  # noqa: B023, E731
+            wide = np.array([len(x[5]) for x in found], dtype=np.int64)
+            if wide.sum():
+                starts, ends, at, cls = (np.concatenate([x[k] for x in found]) for k in range(5, 9))
+                no = np.arange(len(starts)) - np.repeat(np.cumsum(wide) - wide, wide)
+                yield pd.DataFrame(
+                    {
+                        "row_id": part("row_id", wide), "doc_id": part("doc_id", wide).astype("Int64"), "h": part("h", wide), "no": no, "start": starts, "end": ends,
+                        "at": at, "words": PIECE, "wide": True, "cls": cls, "sig": None,
+                    }
+                )
             n = np.array([len(x[0]) for x in found], dtype=np.int64)
             if not n.sum():
                 continue
@@ -137,17 +215,18 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
             starts, ends, first, last = (np.concatenate([x[k] for x in found]) for k in range(4))
             shift = np.repeat(words, n)
             cls, sigs = sign(np.concatenate([x[4] for x in found]), first + shift, last + shift, hashes)
-            part = lambda c: b[c].repeat(n).reset_index(drop=True)  # noqa: B023, E731
             no = np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n)
             yield pd.DataFrame(
                 {
-                    "row_id": part("row_id"), "doc_id": part("doc_id").astype("Int64"), "h": part("h"), "no": no, "start": starts, "end": ends, "words": last - first + 1,
-                    "cls": cls, "sig": [x.tobytes() for x in sigs],
+                    "row_id": part("row_id", n), "doc_id": part("doc_id", n).astype("Int64"), "h": part("h", n), "no": no, "start": starts, "end": ends,
+                    "at": first, "words": last - first + 1, "wide": False, "cls": cls, "sig": [x.tobytes() for x in sigs],
                 }
             )
 
-    schema = "row_id long, doc_id long, h long, no int, start int, end int, words int, cls long, sig binary"
-    cut_up = stored(rows.withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(cut, schema), "paragraphs")
+    schema = "row_id long, doc_id long, h long, no int, start int, end int, at int, words int, wide boolean, cls long, sig binary"
+    pieces = stored(rows.withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(cut, schema), "paragraphs")
+    cut_up, taken = pieces.where("NOT wide"), pieces.where("wide").drop("h", "sig")
+    shared = taken.groupBy("cls").agg(F.min("row_id").alias("least"), F.max("row_id").alias("most")).where("least < most").select("cls")
 
     first = F.min(F.struct("row_id", "no", "doc_id", "h", "start", "end", "sig")).alias("f")
     classes = cut_up.groupBy("cls").agg(F.count("*").alias("rows"), first)
@@ -175,33 +254,38 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     # small components share tiles: those of different ones have no band in common, so that no pair of them is compared
     small = packed.where("blocks = 1").count()
     packs = max(1, -(-small // (BLOCK * 3 // 4)))
-    shared = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs)))
-    tiles = tiles.withColumn("tile", F.when(shared.isNotNull(), -1 - shared).otherwise(F.col("root"))).withColumn("shared", shared.isNotNull())
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs)))
+    tiles = tiles.withColumn("tile", F.when(pack.isNotNull(), -1 - pack).otherwise(F.col("root"))).withColumn("shared", pack.isNotNull())
     found = tiles.drop("blocks").groupBy("shared", "tile", "i", "j").applyInPandas(lambda b: tile_links(b, THRESHOLD, BANDS, ROWS), "node long, other long, links long")
     links = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
 
     often = classes.where("rows > 1").select(F.col("cls").alias("node"))
     clusters = often.unionByName(links.select("node")).distinct().join(links, "node", "left").select(F.col("node").alias("cls"), F.coalesce("root", "node").alias("cluster"))
-    again = stored(cut_up.drop("sig").join(clusters, "cls"), "paragraphs-repeated")
+    again = cut_up.drop("h", "sig").join(clusters, "cls").unionByName(taken.join(shared, "cls").withColumn("cluster", F.col("cls")))
+    again = stored(again, "paragraphs-repeated")
     kept = again.groupBy("cluster").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id", "no")).alias("k"), (F.min("row_id") < F.max("row_id")).alias("across")
     ).where("across")  # a document that repeats itself alone is left as it is
-    keep = (F.col("k.row_id") == F.col("row_id")) & (F.col("k.no") == F.col("no"))
-    return again.join(kept, "cluster").select("row_id", "doc_id", "no", "start", "end", "words", "cluster", keep.alias("keep"))
+    # equal windows of one document may lie within each other: they stay together
+    keep = (F.col("k.row_id") == F.col("row_id")) & (F.col("wide") | (F.col("k.no") == F.col("no")))
+    return again.join(kept, "cluster").select("row_id", "doc_id", "no", "start", "end", "at", "words", "wide", "cluster", keep.alias("keep"))
 
 
 def passages(found: DataFrame, least: int = LEAST_PASSAGE, gap_chars: int = 8 * GAP) -> DataFrame:
     """(doc_id, start, end, words, cluster, removed) of each passage: neighbouring repeated paragraphs of a document put together.
 
-    ``cluster`` is that of its longest paragraph; ``removed`` is false where all of its paragraphs are the ones that stay.
+    ``cluster`` is that of its longest paragraph, or the least of its windows if it has none; ``removed`` is false where all of its paragraphs are the ones that stay.
     """
 
     def join_up(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("start")
-        new = b["start"].to_numpy()[1:] - b["end"].to_numpy()[:-1] > gap_chars
-        b = b.assign(run=np.concatenate(([0], np.cumsum(new))))
+        new = b["start"].to_numpy()[1:] - np.maximum.accumulate(b["end"].to_numpy())[:-1] > gap_chars
+        first, size = b["at"].to_numpy(), b["words"].to_numpy()
+        upto = np.concatenate(([0], np.maximum.accumulate(first + size)[:-1]))
+        order = np.lexsort((np.where(b["wide"], b["cluster"], b["start"]), -size, b["wide"]))
+        b = b.assign(run=np.concatenate(([0], np.cumsum(new))), words=np.maximum(first + size - np.maximum(first, upto), 0))
         out = b.groupby("run").agg(start=("start", "min"), end=("end", "max"), words=("words", "sum"), keep=("keep", "all"))
-        longest = b.sort_values("words", ascending=False, kind="stable").groupby("run")["cluster"].first()
+        longest = b.iloc[order].groupby("run")["cluster"].first()
         out = out.assign(cluster=longest, removed=~out["keep"], doc_id=b["doc_id"].iloc[0])
         return out[out["words"] >= least][["doc_id", "start", "end", "words", "cluster", "removed"]]
 

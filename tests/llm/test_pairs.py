@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -102,6 +103,54 @@ def test_passages(spark, edge, none):
     assert {1, 2, 3, 12} <= set(odd["doc_id"].dropna())
 
 
+def shared_runs(texts, least):
+    """The documents that share a run of ``least`` words with another one, by brute force."""
+    held = defaultdict(set)
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\W_]+", t.lower())
+        for j in range(len(w) - least + 1):
+            held[tuple(w[j : j + least])].add(i)
+    return {i for s in held.values() if len(s) > 1 for i in s}
+
+
+def found_passages(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return paragraph_dedup.passages(paragraph_dedup.repeated_paragraphs(docs)).toPandas()
+
+
+def lines(words, n=5):
+    return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+
+def test_passages_of_short_lines(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    texts = []
+    for i in range(40):
+        around = [word() for _ in range(100)]
+        at = 5 * r.randrange(20)
+        texts.append(lines([*around[:at], *passage, *around[at:]] if i % 4 == 0 else around))
+    texts += [lines([word() for _ in range(25)])] * 2  # short documents that are the same
+    got = found_passages(spark, texts)
+    assert set(got["doc_id"]) == shared_runs(texts, 25) == {*range(0, 40, 4), 40, 41}
+    assert set(got[~got["removed"]]["doc_id"]) == {0, 40}
+    for x in got.itertuples():
+        words = texts[x.doc_id][x.start : x.end].split()
+        assert x.words <= len(words)
+        assert x.doc_id >= 40 or set(words) <= set(passage)
+
+
+def test_passages_of_scripts_without_blanks(spark):
+    r = random.Random(13)
+    text = lambda n: "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    passage = text(200)
+    texts = [text(150) + (passage if i % 3 == 0 else "") + "。" + text(150) for i in range(12)]
+    got = found_passages(spark, texts)
+    assert set(got["doc_id"]) == {0, 3, 6, 9}
+    assert all(texts[x.doc_id][x.start : x.end] in passage for x in got.itertuples())
+
+
 def test_bands_are_tuned_for_recall():
     bands, rows = paragraph_dedup.tune()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.998
