@@ -151,6 +151,25 @@ def test_passages_of_scripts_without_blanks(spark):
     assert all(texts[x.doc_id][x.start : x.end] in passage for x in got.itertuples())
 
 
+def test_passages_without_marks(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(300):  # pairs that share 51 words
+        passage = [word() for _ in range(51)]
+        for _ in range(2):
+            around = [word() for _ in range(120)]
+            at = r.randrange(121)
+            texts.append(" ".join([*around[:at], *passage, *around[at:]]))
+    texts += [" ".join(word() for _ in range(150)) for _ in range(50)]
+    got = found_passages(spark, texts)
+    assert set(got["doc_id"]) == shared_runs(texts, 51) == set(range(600))
+    run = ["echo " * n + prose(90 + n, 40) for n in (70, 90)]  # a run of one word, equal windows within each other
+    got = found_passages(spark, run)
+    assert sorted(got["doc_id"]) == [0, 1] and got.set_index("doc_id")["removed"].to_dict() == {0: False, 1: True}
+    assert (got["words"] <= 90).all()
+
+
 def test_bands_are_tuned_for_recall():
     bands, rows = paragraph_dedup.tune()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.998
