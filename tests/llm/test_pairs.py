@@ -201,6 +201,26 @@ def test_neighbours(spark, none):
     assert spann.nearest(few, few.where("vec_id = 0")).count() == 2
 
 
+def test_neighbours_of_outliers(spark, monkeypatch):
+    monkeypatch.setattr(spann, "LIST", 4)  # lists as small, beside the sample's parts, as those of large tables
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(400, 8))
+    x[:3] = 1000 * np.eye(8)[:3]  # alone
+    x[3:9] = 500 * np.eye(8)[4] + 1e-3 * rng.normal(size=(6, 8))  # a tight group of 6
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in spann.nearest(vectors, vectors.where("vec_id < 20")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(range(20), 10)
+    for q in range(3, 9):
+        assert set(got[q]) >= set(range(3, 9)) - {q}
+    # one id in many rows: its postings are one neighbour
+    ids = [0] * 60 + list(range(1, 31))
+    near = spark.createDataFrame([(i, [1.0 + i, 1.0, float(j % 2)]) for j, i in enumerate(ids)], "vec_id long, embedding array<double>")
+    assert spann.nearest(near, near.where("vec_id = 30")).count() == 10
+    assert spann.nearest(near, near.where("vec_id = 1")).count() == 10
+
+
 def test_mixing(edge, none, edge_rows):
     got = mixing.mix(edge).toPandas()
     assert len(got) == len(edge_rows)
