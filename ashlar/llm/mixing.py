@@ -15,8 +15,9 @@ and only the one slice in which the order is cut is ranked.  What comes of it is
 source and number of digits, which the documents meet in a last pass that moves no text.
 
 Defined results: a null or blank text has size 0 and is never taken; a null source is a source
-of its own; rows that repeat an id share one rank and are taken or left together; no rows give
-no rows; other columns, whatever their names, pass through inside ``row``.
+of its own; rows that repeat an id, null ids included, have ranks of their own, from the id, a hash
+of the text and a number among the rows equal in these and the source (the SQL twin, which ranks
+by id alone, says the same only where ids differ); no rows give no rows; other columns, whatever their names, pass through inside ``row``.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from ashlar.llm.common import stored, table
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
 SLICES = 4096
+SALTS = 256
 #: A table of decisions is broadcast up to so many rows (about 100 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -37,9 +39,13 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _name(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+
+
 def uniform(doc_id: Column, seed: int) -> Column:
     """A number strictly between 0 and 1 with 52 random bits, the same in every run."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
+    digest = F.md5(F.concat(_name(doc_id), F.lit(f":{seed}")).cast("binary"))
     bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
     return (bits + 0.5) / F.lit(float(1 << 52))
 
@@ -73,7 +79,7 @@ def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
 
 
 def _decisions(slim: DataFrame, cap: int, seed: int) -> DataFrame:
-    """Rows (id, source, size, digits) -> a row for each source and number of digits: what to do with such documents."""
+    """Rows (name, source, size, digits) -> a row for each source and number of digits: what to do with such documents."""
     levels = stored(slim.groupBy("source", "digits").agg(F.sum("size").alias("words")), "mix-levels")
     targets = source_targets(levels.groupBy("source").agg(F.sum("words").alias("source_size")), cap)
 
@@ -101,8 +107,32 @@ def _joined(docs: DataFrame, few: DataFrame, *keys: str) -> DataFrame:
     return out.select("d.*", *[f"f.{c}" for c in few.columns if c not in keys])
 
 
+def _named(base: DataFrame, text: Column) -> DataFrame:
+    """``base`` with ``name``, of which the rank is a hash: the id, or for rows that repeat one what tells them apart.
+
+    Rows that repeat an id are written once, so that each keeps its number; their numbers are
+    counted within slices, so that no task holds all rows of an id.
+    """
+    ids = stored(base.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("again")), "mix-repeated-ids")
+    if ids.isEmpty():
+        return base.withColumn("name", _name(F.col("id")))
+    marked = _joined(base, ids, "id")
+    once = marked.where("again IS NULL").drop("again").withColumn("name", _name(F.col("id")))
+    again = marked.where("again").drop("again").withColumn("h", F.xxhash64(text)).withColumn("at", F.monotonically_increasing_id())
+    again = stored(again, "mix-repeated").withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)))
+    equal = ["source", "id", "h"]
+    counts = again.groupBy(*equal, "salt").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*equal).orderBy("salt")) - F.col("n")
+    before = stored(counts.withColumn("before", before).where("before > 0").drop("n"), "mix-numbers")
+    within = F.row_number().over(Window.partitionBy(*equal, "salt").orderBy("at"))
+    again = _joined(again.withColumn("within", within), before, *equal, "salt")
+    number = F.coalesce("before", F.lit(0)) + F.col("within")
+    name = F.concat_ws(":", _name(F.col("id")), F.col("h").cast("string"), number.cast("string"))
+    return once.unionByName(stored(again.withColumn("name", name).select(*once.columns), "mix-named"))
+
+
 def _ranked(slim: DataFrame, seed: int) -> DataFrame:
-    u = uniform(F.col("id"), seed)
+    u = uniform(F.col("name"), seed)
     xi = F.when((F.col("p") > 0) & (F.col("size") > 0), (u / (1 - u)) * ((1 - F.col("p")) / F.col("p")))
     return slim.withColumn("xi", xi)
 
@@ -136,7 +166,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     """
     base = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"))
     base = base.withColumn("digits", F.length(F.bin("size")))
-    slim = base.select("id", "source", "size", "digits")
+    base = _named(base, F.col("row").getField(text))
+    slim = base.select("name", "source", "size", "digits")
     decisions = _decisions(slim, cap, seed)
     ranked = _ranked(_joined(slim, decisions, "source", "digits"), seed)
     cuts = stored(_cuts(ranked), "mix-cuts")

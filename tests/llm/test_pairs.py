@@ -240,6 +240,23 @@ def test_mix_meets_targets(spark, hot):
     assert abs(got["taken"].sum() - sum(t.count("w") for _, t, _ in rows)) <= 120
 
 
+def test_mix_with_repeated_ids(spark):
+    def words(docs):
+        got = mixing.mix(docs).selectExpr("row.source AS s", "target", "taken", "copies").toPandas()
+        return got.groupby("s").agg(target=("target", "first"), taken=("taken", "sum")), sorted(got["copies"])
+
+    # sources of 1,000 rows of 12 words each: targets are 1/2, 1 and 3/2 of them
+    for same in (False, True):
+        rows = [(None if i % 2 else i, "w " * 12 + ("" if same else f"v{i}"), "abc"[i % 3]) for i in range(3000)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        per, copies = words(docs.repartition(7))
+        assert (abs(per["target"] - per["taken"]) <= 13).all()
+        assert words(docs.repartition(2))[1] == copies
+    rows = [(i % 5, "w " * (1 + i % 7), "ab"[i % 2]) for i in range(2000)]
+    per, _ = words(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert (abs(per["target"] - per["taken"]) <= 7).all()
+
+
 def test_pipeline(spark, edge, none, tmp_path, labels):
     import corpus_pipeline
 
