@@ -10,7 +10,8 @@ others do not.  Lexicon and trees are fitted on at most ``SAMPLE`` labelled rows
 (a documented bound); every text is scored whole.
 
 Defined results: null and empty texts are scored as texts without words; without labelled rows
-of both kinds all scores are the share of toxic ones, or 0.5 if there are none at all.
+of both kinds all scores are the share of toxic ones, or 0.5 if there are none at all; such scores tell no texts apart, as
+those from under 20 labelled rows, and :func:`keep_clean` keeps all rows then.
 """
 
 from __future__ import annotations
@@ -161,7 +162,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with its columns, whose score is below ``threshold``."""
+    """The rows of ``docs``, with its columns, whose score is below ``threshold``; all of them if no trees could be fitted."""
+    if model.trees.trees is None:
+        return docs
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

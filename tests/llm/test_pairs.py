@@ -280,3 +280,40 @@ def test_pipeline(spark, edge, none, tmp_path, labels):
             assert not any("abcdefghijkl12345" in (t or "") for t in texts)
         else:
             assert not texts
+
+
+def test_pipeline_stages(spark, edge_rows, tmp_path):
+    import corpus_pipeline
+    from ashlar.llm import toxicity
+
+    from .test_text import check_packing
+
+    rude = lambda i: prose(600 + i, 20) + " you idiot, you pathetic worthless scum! " + prose(700 + i, 20)
+    rows = [r[:4] for r in edge_rows] + [(100 + i, rude(i) if i % 2 else prose(500 + i, 60), "en", "ab"[i % 4 > 1]) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    # without a model nothing is dropped
+    assert toxicity.keep_clean(docs, toxicity.fit(docs, spark.createDataFrame([(100, 1)], "doc_id long, toxic int"))).count() == len(rows)
+    spark.createDataFrame([(100 + i, i % 2) for i in range(160)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def run(k, before):
+        name, stage = corpus_pipeline.STAGES[k]
+        stage(spark, before, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        return now, now.collect()
+
+    tuples = lambda got: sorted(map(repr, map(tuple, got)))
+    now, clean = run(0, docs)
+    ids = {r["doc_id"] for r in clean}
+    assert {100 + i for i in range(0, 160, 2)} <= ids and not ids & {100 + i for i in range(1, 160, 2)}
+    now, single = run(1, now)
+    classes = {c for c, _ in brute_force([r["text"] for r in clean])}
+    assert len(single) == len(classes) == len({c for c, _ in brute_force([r["text"] for r in single])}) > 80
+    now, masked = run(2, now)
+    assert len(masked) == len(single) and not any("abcdefghijkl12345" in (r["text"] or "") for r in masked)
+    assert tuples(r for r in masked if r["doc_id"] != 10) == tuples(r for r in single if r["doc_id"] != 10)
+    plan = mixing.mix(now).selectExpr("row.*", "copies").collect()
+    now, mixed = run(3, now)
+    assert tuples(mixed) == sorted(repr(tuple(r)[:-1]) for r in plan for _ in range(r["copies"])) and len(mixed) > 40
+    _, pieces = run(4, now)
+    check_packing(list(spark.read.parquet(f"{tmp_path}/packing").toPandas().itertuples()), [r["text"] for r in mixed])
+    assert pieces
