@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='ashlar-')}"
         spark.sparkContext.setCheckpointDir(named)
     elif not spark.sparkContext.getCheckpointDir():
@@ -28,7 +30,35 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/ashlar/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what :func:`stored` wrote; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys with more than a ``HOT_KEYS``-th of all rows are joined apart: there are fewer than ``HOT_KEYS`` of them.
+HOT_KEYS = 4096
+HOT_LEAST = 256
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, n: str, total: int | None = None) -> DataFrame:
+    """``big`` joined with ``small``, which has each key once and in column ``n`` its number of rows in ``big``.
+
+    Hot keys' rows of ``small``, fewer than ``HOT_KEYS`` of them, are broadcast, so that their rows of ``big`` stay where
+    they are; all other keys are shuffled.  ``total`` is the sum of ``n``, or a number that is not below it, if known.
+    """
+    if total is None:
+        total = small.agg(F.sum(n).alias("n")).first()["n"] or 0
+    limit = max(HOT_LEAST, total // HOT_KEYS)
+    hot = F.broadcast(small.where(F.col(n) > limit))
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col(n) <= limit), key)
+    return rest.unionByName(big.join(hot, key)).drop(n)
 
 
 def held_out(doc_id: Column) -> Column:

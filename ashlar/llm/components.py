@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import stored
+from ashlar.llm.common import forget, join_hot, stored
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over (a, b) with a > b.  Minima are taken by partial aggregation, so that a node of any degree is no hot group."""
+def _stars(edges: DataFrame, large: bool, most: int) -> DataFrame:
+    """One step over (a, b) with a > b, at most ``most`` of them.
+
+    Minima are taken by partial aggregation, and nodes of high degree meet their minimum by broadcast, so that a node of
+    any degree is no hot group.
+    """
+    sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        moved = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        sides = sides.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if large:
+        moved = join_hot(sides, least.withColumn("m", F.least("m", "u")), "u", "n", 2 * most).where("v > u")
+        moved = moved.select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        down = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        moved = join_hot(sides, least, "u", "n", most).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        moved = moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return moved.where("a <> b").distinct()
 
 
@@ -25,15 +31,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a, b) long, in any order -> (node, root): each node of an edge with the least node of its component.
 
     Self edges are left out; no edges give no rows.  Each round is written to the shared folder,
-    so that a lost executor costs one round at most; it ends when a round changes nothing.
+    so that a lost executor costs one round at most, and the round before is deleted; it ends when a round changes nothing.
     """
+    # the same edges again: by number and an order-free sum of hashes
+    marks = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")]
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, mark = stored(now, "components"), None
+    now = stored(now, "components")
+    mark = now.agg(*marks).first()
     for _ in range(most_rounds):
-        now = stored(_stars(_stars(now, large=True), large=False), "components")
-        # the same edges again: by number and an order-free sum of hashes
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (row["n"], row["h"]) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        mark = (row["n"], row["h"])
-    raise RuntimeError(f"components have not settled in {most_rounds} rounds")
+        if not mark["n"]:
+            break
+        done, old, now = mark, now, stored(_stars(_stars(now, True, mark["n"]), False, mark["n"]), "components")
+        mark = now.agg(*marks).first()
+        forget(old)
+        if mark == done:
+            break
+    else:
+        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

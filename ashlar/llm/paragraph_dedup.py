@@ -1,30 +1,31 @@
-"""Repeated passages by MinHash banding of paragraphs and by windows of words.
+"""Repeated passages by MinHash banding of paragraphs, long and short.
 
-A document's *paragraphs* are the stretches between ends of lines and of sentences; stretches of
-more than ``LONG`` words are cut after words whose hash says so.  Where these cuts fall may depend
-on what stands before a passage, and paragraphs under ``LEAST_WORDS`` words are left out; so a
-document has *windows* besides, of ``PIECE`` words in a row, whatever marks or line ends stand
-between them.  Of any ``PICK`` neighbouring windows the one of the least hash is taken, which
-depends on those words alone: a run of ``PIECE + PICK - 1`` words that two documents share gives
-both an equal window, except that equal windows side by side, as in a run of one word, are thinned.
+A document's *paragraphs* are some 40 to 150 words long: it is cut after the word that is the best
+place to cut among the ``SPREAD`` words on either side, where an end of a line is better than an end of a sentence
+and this better than any other word, and the hash of the words there decides among equals.  So a
+cut depends on the words around it alone, paragraphs begin and end alike wherever a passage
+stands, and no word is left out.  *Windows* are short paragraphs, of ``PIECE`` words in a row: of
+any ``PICK`` neighbouring windows the one of the least hash is taken, which is MinHash with a
+single value over such stretches.  A run of ``PIECE + PICK - 1`` words that two documents share
+gives both an equal window, except that equal windows side by side, as in a run of one word, are thinned.
 
 1. Paragraphs with equal words in equal order make a class (a 64-bit hash of them).
-2. Bands are tuned for recall (:func:`tune`): at 0.8 the chosen ones miss 1 pair in 600.
+2. Paragraphs have ``BANDS`` bands of ``ROWS`` values, tuned for recall (:func:`tune`): a pair at
+   0.8 is missed once in 550 times, and one at 0.2 collides once in 50.
 3. Classes that share a band are gathered into components and verified exactly, by Jaccard on
-   their shingle sets, in tiles of bounded size.
+   their shingle sets, in tiles of bounded size.  Their words are cut from the texts a second time, so
+   that no text is carried along with the bands.
 4. Components of verified links, and classes that occur more than once, are clusters of repeated
    paragraphs, if they meet in two documents or more.  The first occurrence of a cluster (least id) stays, the others are removals.
 5. Repeated paragraphs of a document with at most ``GAP`` words between them make one passage;
    passages of ``LEAST_PASSAGE`` repeated words or more are given.  The bound lies under 50
-   because a passage that begins or ends within a sentence shares that paragraph with what
-   around it.
-6. Windows that occur in two documents or more are repeated paragraphs too; words that several
-   paragraphs of a passage hold are counted once.
+   because a passage begins and ends within windows that it shares with what stands around it.
+   Words that several paragraphs of a passage hold are counted once.
 
 Words are runs of letters and digits; each character of a script that is written without blanks
 is a word.
 
-Defined results: null and empty texts have no paragraphs; repeated rows are documents like any
+Defined results: null and empty texts, and those of fewer than ``LEAST_WORDS`` words, have no paragraphs; repeated rows are documents like any
 others; whole texts are read; no rows give no rows; other columns play no part.
 """
 
@@ -34,24 +35,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import stored, table
+from ashlar.llm.common import forget, join_hot, stored, table
 from ashlar.llm.components import components
-from ashlar.llm.jaccard_join import BLOCK, SHINGLE, THRESHOLD, MinHash, tile_links
+from ashlar.llm.jaccard_join import BLOCK, SHINGLE, THRESHOLD, MinHash, WordHashes, band_keys, shingles
 from ashlar.llm.jaccard_join import _mix as mix64
 from ashlar.llm.quality_mil import _inverse, _powers
 
 LEAST_WORDS = 7
-LONG = 16
-CUT = 4
+SPREAD = 40
 PIECE = 20
-PICK = 16
+PICK = 24
 LEAST_PASSAGE = 20
 GAP = 40
 RECALL = 0.998
-MOST_BANDS = 4
+MOST_BANDS = 12
+#: Words that are signed at once, unless one text has more.
+BATCH_WORDS = 400_000
+#: Classes whose words a task remembers to have given, before it forgets them all.
+SEEN = 200_000
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -130,166 +134,257 @@ def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at].view(np.int64)
 
 
-def paragraphs(text: str | None) -> tuple[np.ndarray, ...]:
-    """(starts, ends) in code points, (first, last) word of each paragraph with enough words, and a 64-bit hash of every word.
+def cuts(h: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The words after which a text is cut, out of the hashes of its words and how they end: 0 a line, 1 a sentence, 2 neither."""
+    n = len(h)
+    if n <= SPREAD:
+        return np.empty(0, dtype=np.int64)
+    # the less, the better; the next word's hash counts too, so that a common word is no place to cut by itself
+    place = (mix64(h ^ mix64(np.concatenate((h[1:], h[:1])))) >> np.uint64(2)) | (stop.astype(np.uint64) << np.uint64(62))
+    edge = np.full(SPREAD, ~np.uint64(0))
+    least = _least(np.concatenate((edge, place, edge)), SPREAD)
+    # less than all before it and not more than any after it: of equal ones side by side the first
+    at = np.flatnonzero((place < least[:n]) & (place <= least[SPREAD + 1 : SPREAD + 1 + n]))
+    return at[(at + 1 >= LEAST_WORDS) & (n - 1 - at >= LEAST_WORDS)]
 
-    After these (starts, ends), first words and hashes of the windows.  Words are runs of letters, digits and
-    bytes outside ASCII, but for scripts without blanks; capitals of ASCII count as small.
+
+class Layout:
+    """The words of a text, where they stand, their hashes, and its paragraphs as ranges (first, last) of them.
+
+    Words are runs of letters, digits and bytes outside ASCII, but for scripts without blanks; capitals of ASCII count as
+    small.  A text of fewer than ``LEAST_WORDS`` words has no paragraph.
     """
-    raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
-    begins, ends = _words(raw)
-    none = np.empty(0, dtype=np.int64)
-    if len(begins) < LEAST_WORDS:
-        return (none,) * 4 + (np.empty(0, dtype=np.uint64),) + (none,) * 4
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((_LOWER[raw] + np.uint64(1)) * _powers(len(raw)), dtype=np.uint64)))
-    h = mix64((total[ends] - total[begins]) * _inverse(len(raw))[begins])
-
-    # a word ends a sentence if one mark and a blank follow it, and a line if a line end comes before the next word
-    after = np.minimum(ends + 1, len(raw) - 1)
-    lines = np.concatenate(([0], np.cumsum(raw == 10)))
-    stop = _STOP[raw[np.minimum(ends, len(raw) - 1)]] & _BLANK[raw[after]] & (ends + 1 < len(raw))
-    stop[:-1] |= lines[begins[1:]] > lines[ends[:-1]]
-    stop[-1] = True
-    where = np.flatnonzero(stop)
-    size = np.diff(np.concatenate(([-1], where)))
-    cut = (np.repeat(size, size) > LONG) & (h % np.uint64(CUT) == 0)
-    first, bounds = 0, []
-    for i, whole in zip((c := np.flatnonzero(stop | cut)).tolist(), stop[c].tolist(), strict=True):
-        if i + 1 - first >= LEAST_WORDS:
-            bounds.append((first, i))
-            first = i + 1
-        elif whole:
-            first = i + 1
-    at = np.array(bounds, dtype=np.int64).reshape(-1, 2)
-    chars = np.cumsum((raw & 0xC0) != 0x80)
-    head, hashes = windows(h)
-    wide = chars[begins[head]] - 1, chars[ends[head + PIECE - 1] - 1], head, hashes
-    return chars[begins[at[:, 0]]] - 1, chars[ends[at[:, 1]] - 1], at[:, 0], at[:, 1], h, *wide
-
-
-def sign(h: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: MinHash) -> tuple[np.ndarray, np.ndarray]:
-    """For paragraphs, ranges of the word hashes ``h``: a 64-bit hash of each one's words in order, and MinHash values of its shingles.
+
+    def __init__(self, text: str | None):
+        self.raw = raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
+        self.begins, self.ends = begins, ends = _words(raw)
+        self.first = self.last = np.empty(0, dtype=np.int64)
+        self.h = np.empty(0, dtype=np.uint64)
+        if len(begins) < LEAST_WORDS:
+            return
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((_LOWER[raw] + np.uint64(1)) * _powers(len(raw)), dtype=np.uint64)))
+        self.h = mix64((total[ends] - total[begins]) * _inverse(len(raw))[begins])
+        # a word ends a sentence if one mark and a blank follow it, and a line if a line end comes before the next word
+        after = np.minimum(ends + 1, len(raw) - 1)
+        lines = np.concatenate(([0], np.cumsum(raw == 10)))
+        mark = _STOP[raw[np.minimum(ends, len(raw) - 1)]] & _BLANK[raw[after]] & (ends + 1 < len(raw))
+        stop = np.where(mark, 1, 2)
+        stop[:-1][lines[begins[1:]] > lines[ends[:-1]]] = 0
+        at = cuts(self.h, stop)
+        self.first, self.last = np.concatenate(([0], at + 1)), np.concatenate((at, [len(self.h) - 1]))
+
+    def chars(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) in code points of ranges of words."""
+        upto = np.cumsum((self.raw & 0xC0) != 0x80)
+        return upto[self.begins[first]] - 1, upto[self.ends[last] - 1]
+
+    def text(self, i: int) -> str:
+        """The words of paragraph ``i`` and what stands between them."""
+        return self.raw[self.begins[self.first[i]] : self.ends[self.last[i]]].tobytes().decode("utf-8", "replace")
+
+
+def classes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words, in order, of paragraphs of ``n`` words that make up ``h``."""
+    starts = np.cumsum(n) - n
+    place = np.arange(len(h)) - np.repeat(starts, n)
+    return mix64(np.add.reduceat(mix64(h ^ mix64(place.astype(np.uint64) + np.uint64(1))), starts) + n.astype(np.uint64)).view(np.int64)
+
+
+def sign(h: np.ndarray, n: np.ndarray, hashes: MinHash) -> np.ndarray:
+    """The MinHash values of the shingles of such paragraphs, all of which have ``SHINGLE`` words or more.
 
     All paragraphs are worked on at once; repeats among a paragraph's shingles don't change minima.
     """
-    n = last - first + 1
-    starts = np.cumsum(n) - n
-    place = np.arange(int(n.sum())) - np.repeat(starts, n)
-    h = h[np.repeat(first, n) + place]
-    cls = np.add.reduceat(mix64(h ^ mix64(place.astype(np.uint64) + np.uint64(1))), starts)
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
     acc = np.full(len(h) - SHINGLE + 1, SHINGLE, dtype=np.uint64)
     for i in range(SHINGLE):
         acc = mix64(acc * _ODD + h[i : len(h) - SHINGLE + 1 + i])
     inside = (place + SHINGLE <= np.repeat(n, n))[: len(acc)]
     counts = n - SHINGLE + 1
-    return mix64(cls + n.astype(np.uint64)).view(np.int64), hashes.minima(acc[inside], np.cumsum(counts) - counts)
+    return hashes.minima(acc[inside], np.cumsum(counts) - counts)
 
 
-def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(row_id, doc_id, no, start, end, at, words, wide, cluster, keep) for every paragraph or (``wide``) window that another document has, exactly or nearly.
+def cut_up(rows: DataFrame) -> DataFrame:
+    """(row_id, doc_id, text) -> (row_id, doc_id, at, start, end, words, wide, cls, keys) for every paragraph and (``wide``) window.
 
-    ``at`` is the number of its first word.
+    ``at`` is the number of its first word, ``start`` and ``end`` are in code points, ``keys`` a paragraph's bands.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = MinHash(BANDS * ROWS)
+
+        def given(held: list) -> pd.DataFrame:
+            ids, docs, layouts = zip(*held, strict=True)
+            heads = [windows(x.h) for x in layouts]
+            n = np.array([[len(x.first), len(w)] for x, (w, _) in zip(layouts, heads, strict=True)]).ravel()
+            size = np.concatenate([x.last - x.first + 1 for x in layouts])
+            h = np.concatenate([x.h for x in layouts])
+            cls, keys = classes(h, size), band_keys(sign(h, size, hashes), BANDS, ROWS)
+            parts, upto = [], 0
+            for x, (w, g) in zip(layouts, heads, strict=True):
+                m = len(x.first)
+                parts.append((x.first, *x.chars(x.first, x.last), x.last - x.first + 1, cls[upto : upto + m]))
+                parts.append((w, *x.chars(w, w + PIECE - 1), np.full(len(w), PIECE), g))
+                upto += m
+            at, start, end, words, cls = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            wide = np.repeat(np.arange(len(n)) % 2 == 1, n)
+            bands = np.full(len(wide), None, dtype=object)
+            bands[~wide] = pd.Series(list(keys), dtype=object)
+            doc = pd.array(docs, dtype="Int64").repeat(n[0::2] + n[1::2])
+            return pd.DataFrame(
+                {"row_id": np.repeat(ids, n[0::2] + n[1::2]), "doc_id": doc, "at": at, "start": start, "end": end, "words": words, "wide": wide, "cls": cls, "keys": bands}
+            )
+
+        for b in batches:
+            held, words = [], 0
+            for i, d, t in zip(b["row_id"], b["doc_id"].astype("Int64"), b["text"], strict=True):
+                x = Layout(t)
+                if not len(x.first):
+                    continue
+                if held and words + len(x.h) > BATCH_WORDS:
+                    yield given(held)
+                    held, words = [], 0
+                held.append((i, d, x))
+                words += len(x.h)
+            if held:
+                yield given(held)
+
+    return rows.mapInPandas(run, "row_id long, doc_id long, at int, start int, end int, words int, wide boolean, cls long, keys array<long>")
+
+
+def wordings(rows: DataFrame) -> DataFrame:
+    """(cls, text) of the paragraphs of ``rows``; of one class that is common a task gives few."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for b in batches:
-            found = [paragraphs(t) for t in b["text"]]
-            part = lambda c, n: b[c].repeat(n).reset_index(drop=True)  # noqa: B023, E731
-            wide = np.array([len(x[5]) for x in found], dtype=np.int64)
-            if wide.sum():
-                starts, ends, at, cls = (np.concatenate([x[k] for x in found]) for k in range(5, 9))
-                no = np.arange(len(starts)) - np.repeat(np.cumsum(wide) - wide, wide)
-                yield pd.DataFrame(
-                    {
-                        "row_id": part("row_id", wide), "doc_id": part("doc_id", wide).astype("Int64"), "h": part("h", wide), "no": no, "start": starts, "end": ends,
-                        "at": at, "words": PIECE, "wide": True, "cls": cls, "sig": None,
-                    }
-                )
-            n = np.array([len(x[0]) for x in found], dtype=np.int64)
-            if not n.sum():
-                continue
-            words = np.cumsum([0, *(len(x[4]) for x in found[:-1])]) if len(found) > 1 else np.zeros(1, dtype=np.int64)
-            starts, ends, first, last = (np.concatenate([x[k] for x in found]) for k in range(4))
-            shift = np.repeat(words, n)
-            cls, sigs = sign(np.concatenate([x[4] for x in found]), first + shift, last + shift, hashes)
-            no = np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n)
-            yield pd.DataFrame(
-                {
-                    "row_id": part("row_id", n), "doc_id": part("doc_id", n).astype("Int64"), "h": part("h", n), "no": no, "start": starts, "end": ends,
-                    "at": first, "words": last - first + 1, "wide": False, "cls": cls, "sig": [x.tobytes() for x in sigs],
-                }
-            )
-
-    schema = "row_id long, doc_id long, h long, no int, start int, end int, at int, words int, wide boolean, cls long, sig binary"
-    pieces = stored(rows.withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(cut, schema), "paragraphs")
-    cut_up, taken = pieces.where("NOT wide"), pieces.where("wide").drop("h", "sig")
-    shared = taken.groupBy("cls").agg(F.min("row_id").alias("least"), F.max("row_id").alias("most")).where("least < most").select("cls")
-
-    first = F.min(F.struct("row_id", "no", "doc_id", "h", "start", "end", "sig")).alias("f")
-    classes = cut_up.groupBy("cls").agg(F.count("*").alias("rows"), first)
-    # one long a band: its number and its values
-    values = [F.substring(F.hex("f.sig"), 1 + 8 * ROWS * i, 8 * ROWS) for i in range(BANDS)]
-    keys = F.array(*[F.xxhash64(F.lit(i), v) for i, v in enumerate(values)])
-    banded = classes.select(F.col("cls").alias("node"), F.explode(keys).alias("key"))
-    least = banded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = components(banded.join(least, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
-
-    sizes = near.groupBy("root").agg(F.count("*").alias("size"))
-    dealt = near.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn(
-        "block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    )
-    members = stored(dealt.join(classes.select(F.col("cls").alias("node"), "rows", "f"), "node").select("root", "node", "rows", "blocks", "block", "f.*"), "paragraph-candidates")
-    wanted = members.select("doc_id", "h").distinct()
-    r, w = rows.alias("r"), wanted.alias("w")
-    texts = r.join(w, F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.h") == F.col("w.h")), "left_semi").dropDuplicates(["doc_id", "h"])
-    m, t = members.alias("m"), texts.alias("t")
-    packed = members
-    piece = F.substring(F.col("t.text"), F.col("m.start") + 1, F.col("m.end") - F.col("m.start"))
-    members = m.join(t, F.col("m.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("m.h") == F.col("t.h"))).select("m.root", "m.node", "m.rows", "m.sig", "m.block", "m.blocks", piece.alias("text"))
-    tiles = members.select("root", "node", "rows", "sig", "text", "block", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    tiles = tiles.select("*", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    # small components share tiles: those of different ones have no band in common, so that no pair of them is compared
-    small = packed.where("blocks = 1").count()
-    packs = max(1, -(-small // (BLOCK * 3 // 4)))
-    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs)))
-    tiles = tiles.withColumn("tile", F.when(pack.isNotNull(), -1 - pack).otherwise(F.col("root"))).withColumn("shared", pack.isNotNull())
-    found = tiles.drop("blocks").groupBy("shared", "tile", "i", "j").applyInPandas(lambda b: tile_links(b, THRESHOLD, BANDS, ROWS), "node long, other long, links long")
-    links = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-
-    often = classes.where("rows > 1").select(F.col("cls").alias("node"))
-    clusters = often.unionByName(links.select("node")).distinct().join(links, "node", "left").select(F.col("node").alias("cls"), F.coalesce("root", "node").alias("cluster"))
-    again = cut_up.drop("h", "sig").join(clusters, "cls").unionByName(taken.join(shared, "cls").withColumn("cluster", F.col("cls")))
-    again = stored(again, "paragraphs-repeated")
+            cls, text = [], []
+            for t in b["text"]:
+                x = Layout(t)
+                if not len(x.first):
+                    continue
+                for i, c in enumerate(classes(x.h, x.last - x.first + 1).tolist()):
+                    if c not in seen:
+                        seen.add(c)
+                        cls.append(c)
+                        text.append(x.text(i))
+                if len(seen) > SEEN:
+                    seen.clear()
+            yield pd.DataFrame({"cls": np.array(cls, dtype=np.int64), "text": pd.Series(text, dtype=object)})
+
+    return rows.select("text").mapInPandas(run, "cls long, text string")
+
+
+def tile_edges(b: pd.DataFrame) -> pd.DataFrame:
+    """(node, other): a spanning forest of the links between the nodes of a tile that are of one component.
+
+    A tile of two blocks compares one with the other only.  Intersections are counted from lists of the nodes that have a shingle.
+    """
+    b = b.sort_values("node").reset_index(drop=True)
+    node, root, block = b["node"].to_numpy(), b["root"].to_numpy(), b["block"].to_numpy()
+    known = WordHashes()
+    sets = [shingles(t, known) for t in b["text"]]
+    size = np.array([len(s) for s in sets])
+    value = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(b)), size)
+    _, value = np.unique(value, return_inverse=True)
+    order = np.argsort(value, kind="stable")
+    posted, begins = owner[order], np.searchsorted(value[order], np.arange(len(order) + 1))
+    upto = np.cumsum(size)
+    up = list(range(len(b)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    across = b["i"].iloc[0] != b["j"].iloc[0]
+    out = []
+    for i in range(len(b)):
+        mine = value[upto[i] - size[i] : upto[i]]
+        both = np.bincount(np.concatenate([posted[begins[v] : begins[v + 1]] for v in mine]), minlength=len(b))
+        near = (both >= THRESHOLD * (size + size[i] - both) - 1e-9) & (both / (size + size[i] - both) >= THRESHOLD) & (root == root[i])
+        near[: i + 1] = False
+        if across:
+            near &= block != block[i]
+        for j in np.flatnonzero(near).tolist():
+            x, y = find(i), find(j)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((node[i], node[j]))
+    return pd.DataFrame(out, columns=["node", "other"], dtype=np.int64)
+
+
+def near_links(units: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, root): classes of paragraphs that are near others, by components of verified links."""
+    banded = units.select(F.col("cls").alias("node"), F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
+    shared = stored(shared, "paragraph-bands")
+    near = components(join_hot(banded, shared, "key", "n").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    forget(shared)
+
+    sizes = stored(near.groupBy("root").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "paragraph-sizes")
+    # small components share tiles; nodes of different ones are not compared
+    packs = max(1, (sizes.where("blocks = 1").agg(F.sum("size").alias("n")).first()["n"] or 0) * 2 // BLOCK)
+    dealt = join_hot(near, sizes, "root", "size").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    alone = F.col("blocks") > 1
+    dealt = dealt.withColumn("alone", alone).withColumn("tile", F.when(alone, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs))))
+    texts = wordings(rows).withColumnRenamed("cls", "node")
+    members = stored(texts.join(dealt, "node").dropDuplicates(["node"]), "paragraph-candidates")
+    tiles = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("alone", "tile", "root", "node", "text", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    found = stored(tiles.groupBy("alone", "tile", "i", "j").applyInPandas(tile_edges, "node long, other long"), "paragraph-links")
+    forget(members)
+    forget(sizes)
+    links = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    forget(found)
+    return links
+
+
+def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(row_id, doc_id, at, start, end, words, wide, cluster, keep) for every paragraph or (``wide``) window that another document has, exactly or nearly.
+
+    ``at`` is the number of its first word.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    pieces = stored(cut_up(rows.withColumn("row_id", F.monotonically_increasing_id())), "paragraphs")
+    links = near_links(pieces.where("NOT wide"), rows)
+
+    # classes that two documents have, and those with a link
+    exact = pieces.groupBy("cls").agg(F.min("row_id").alias("least"), F.max("row_id").alias("most"), F.count("*").alias("n")).where("least < most")
+    clusters = exact.select("cls", "n").join(links.withColumnRenamed("node", "cls"), "cls", "full")
+    clusters = stored(clusters.select("cls", F.coalesce("root", "cls").alias("cluster"), F.coalesce("n", F.lit(1)).alias("n")), "paragraph-clusters")
+    again = stored(join_hot(pieces.drop("keys"), clusters, "cls", "n").drop("cls"), "paragraphs-repeated")
+    forget(pieces)
+    forget(clusters)
     kept = again.groupBy("cluster").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id", "no")).alias("k"), (F.min("row_id") < F.max("row_id")).alias("across")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id", "at")).alias("k"), (F.min("row_id") < F.max("row_id")).alias("across"), F.count("*").alias("n")
     ).where("across")  # a document that repeats itself alone is left as it is
+    kept = stored(kept.select("cluster", F.col("k.row_id").alias("k_row"), F.col("k.at").alias("k_at"), "n"), "paragraph-keepers")
     # equal windows of one document may lie within each other: they stay together
-    keep = (F.col("k.row_id") == F.col("row_id")) & (F.col("wide") | (F.col("k.no") == F.col("no")))
-    return again.join(kept, "cluster").select("row_id", "doc_id", "no", "start", "end", "at", "words", "wide", "cluster", keep.alias("keep"))
+    keep = (F.col("k_row") == F.col("row_id")) & (F.col("wide") | (F.col("k_at") == F.col("at")))
+    return join_hot(again, kept, "cluster", "n").select("row_id", "doc_id", "at", "start", "end", "words", "wide", "cluster", keep.alias("keep"))
 
 
 def passages(found: DataFrame, least: int = LEAST_PASSAGE, gap_chars: int = 8 * GAP) -> DataFrame:
     """(doc_id, start, end, words, cluster, removed) of each passage: neighbouring repeated paragraphs of a document put together.
 
     ``cluster`` is that of its longest paragraph, or the least of its windows if it has none; ``removed`` is false where all of its paragraphs are the ones that stay.
+    A group that is sorted here is a single document's.
     """
-
-    def join_up(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("start")
-        new = b["start"].to_numpy()[1:] - np.maximum.accumulate(b["end"].to_numpy())[:-1] > gap_chars
-        first, size = b["at"].to_numpy(), b["words"].to_numpy()
-        upto = np.concatenate(([0], np.maximum.accumulate(first + size)[:-1]))
-        order = np.lexsort((np.where(b["wide"], b["cluster"], b["start"]), -size, b["wide"]))
-        b = b.assign(run=np.concatenate(([0], np.cumsum(new))), words=np.maximum(first + size - np.maximum(first, upto), 0))
-        out = b.groupby("run").agg(start=("start", "min"), end=("end", "max"), words=("words", "sum"), keep=("keep", "all"))
-        longest = b.iloc[order].groupby("run")["cluster"].first()
-        out = out.assign(cluster=longest, removed=~out["keep"], doc_id=b["doc_id"].iloc[0])
-        return out[out["words"] >= least][["doc_id", "start", "end", "words", "cluster", "removed"]]
-
-    return found.groupBy("row_id").applyInPandas(join_up, "doc_id long, start long, end long, words long, cluster long, removed boolean")
+    order = Window.partitionBy("row_id").orderBy("start", "end", "wide", "at")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto, words = F.max("end").over(before), F.max(F.col("at") + F.col("words")).over(before)
+    fresh = F.greatest(F.col("at") + F.col("words") - F.greatest(F.col("at"), F.coalesce(words, F.lit(0))), F.lit(0))
+    laid = found.withColumn("fresh", fresh).withColumn("new", F.coalesce(F.col("start") - upto > gap_chars, F.lit(True)).cast("int"))
+    laid = laid.withColumn("run", F.sum("new").over(order))
+    longest = F.struct("wide", -F.col("words"), F.when(F.col("wide"), F.col("cluster")).otherwise(F.col("start").cast("long")))
+    out = laid.groupBy("row_id", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("fresh").alias("words"),
+        F.min_by("cluster", longest).alias("cluster"), (~F.bool_and("keep")).alias("removed"),
+    )
+    return out.where(F.col("words") >= least).select("doc_id", "start", "end", "words", "cluster", "removed")
 
 
 def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
