@@ -55,9 +55,12 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, n: str, total: int | No
     """
     if total is None:
         total = small.agg(F.sum(n).alias("n")).first()["n"] or 0
-    limit = max(HOT_LEAST, total // HOT_KEYS)
-    hot = F.broadcast(small.where(F.col(n) > limit))
-    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col(n) <= limit), key)
+    rows = small.where(F.col(n) > max(HOT_LEAST, total // HOT_KEYS)).collect()
+    if not rows:
+        return big.join(small, key).drop(n)
+    hot = F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
+    keys = F.broadcast(hot.select(key))
+    rest = big.join(keys, key, "left_anti").join(small, key)
     return rest.unionByName(big.join(hot, key)).drop(n)
 
 

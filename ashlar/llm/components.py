@@ -8,23 +8,18 @@ from pyspark.sql import functions as F
 from ashlar.llm.common import forget, join_hot, stored
 
 
-def _stars(edges: DataFrame, large: bool, most: int) -> DataFrame:
-    """One step over (a, b) with a > b, at most ``most`` of them.
+def _stars(edges: DataFrame, most: int) -> DataFrame:
+    """A large-star and a small-star step over (a, b) with a > b, at most ``most`` of them.
 
-    Minima are taken by partial aggregation, and nodes of high degree meet their minimum by broadcast, so that a node of
-    any degree is no hot group.
+    Minima are taken by partial aggregation, and nodes of high degree meet theirs by broadcast.  Such nodes are the
+    least of their neighbours, or soon are, so that they have few lesser ones in the second step.
     """
-    sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if large:
-        sides = sides.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    if large:
-        moved = join_hot(sides, least.withColumn("m", F.least("m", "u")), "u", "n", 2 * most).where("v > u")
-        moved = moved.select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = join_hot(sides, least, "u", "n", most).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        moved = moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    down = join_hot(both, least, "u", "n", 2 * most).where("v > u AND v <> m").select("v", "m").distinct()
+    least = down.groupBy("v").agg(F.min("m").alias("l"))
+    moved = down.join(least, "v").select(F.col("m").alias("a"), F.col("l").alias("b"))
+    return moved.unionByName(least.select(F.col("v").alias("a"), F.col("l").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -41,7 +36,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark["n"]:
             break
-        done, old, now = mark, now, stored(_stars(_stars(now, True, mark["n"]), False, mark["n"]), "components")
+        done, old, now = mark, now, stored(_stars(now, mark["n"]), "components")
         mark = now.agg(*marks).first()
         forget(old)
         if mark == done:
