@@ -1,11 +1,13 @@
 """Near duplicates, repeated passages, neighbours, mixing, pipeline."""
 
 import itertools
+import os
 import random
 import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from ashlar.llm import components, jaccard_join, mixing, paragraph_dedup, spann
@@ -170,11 +172,81 @@ def test_passages_without_marks(spark):
     assert (got["words"] <= 90).all()
 
 
+def test_passages_of_a_whole_corpus(spark):
+    """Every document of the synthetic corpus that shares a run of 50 words with another, by brute force, is found."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no synthetic corpus here")
+    docs = spark.read.parquet(path)
+    rows = docs.select("doc_id", "text").toPandas()
+    got = paragraph_dedup.passages(paragraph_dedup.repeated_paragraphs(docs)).toPandas()
+    texts = rows["text"].fillna("").tolist()
+    ids = rows["doc_id"].tolist()
+    assert {ids[i] for i in shared_runs(texts, 50)} <= set(got["doc_id"])
+    # and what is found shares 20 words at least, or is near another document's paragraph
+    shingled = [set(jaccard_join.shingles(t, jaccard_join.WordHashes()).tolist()) for t in texts]
+    alike = {ids[i] for i in shared_runs(texts, 20)}
+    for i in set(got["doc_id"]) - alike:
+        mine = shingled[ids.index(i)]
+        assert any(len(mine & s) >= 16 for j, s in zip(ids, shingled) if j != i)
+
+
+def test_near_paragraphs_are_linked_by_bands(spark):
+    """Paragraphs that share no window of 20 words are found through their bands; others at under 0.8 are left."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(1000)]
+    layout = paragraph_dedup.Layout(" ".join(base))
+    first, last = int(layout.first[2]), int(layout.last[2])
+    paragraph = base[first : last + 1]
+    b = pd.DataFrame({"node": [3, 5, 9, 11], "root": [1, 1, 1, 2], "block": [0, 0, 0, 0], "i": 0, "j": 0})
+    near = [*paragraph[:-1], "other"]
+    b["text"] = [" ".join(paragraph), " ".join(near), " ".join(paragraph[: len(paragraph) // 2]), " ".join(paragraph)]
+    assert paragraph_dedup.tile_edges(b).to_numpy().tolist() == [[3, 5]]
+    # every paragraph of a text is cut alike, whatever stands before and after it
+    moved = paragraph_dedup.Layout(" ".join([word() for _ in range(300)] + base[first - 120 : last + 120] + [word() for _ in range(300)]))
+    assert any(moved.text(i) == " ".join(paragraph) for i in range(len(moved.first)))
+    assert sum(layout.last - layout.first + 1) == 1000 and (layout.last - layout.first + 1).min() >= paragraph_dedup.LEAST_WORDS
+
+
 def test_bands_are_tuned_for_recall():
     bands, rows = paragraph_dedup.tune()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.998
 
 
+def test_distance_ratio_prunes():
+    """On clustered vectors few lists are read and nearly all neighbours found."""
+    rng = np.random.default_rng(0)
+    centre = rng.normal(size=(60, 32))
+    x = centre[rng.integers(0, 60, 6000)] + 0.25 * rng.normal(size=(6000, 32))
+    c = spann.fit(x[:4000], len(x), 10)
+    held = c.lists_for_vectors(x)
+    sizes = np.bincount(np.concatenate(held), minlength=len(c.at))
+    share = hit = 0
+    for i in range(0, 6000, 100):
+        read = c.widened(x[i], sizes, spann.ENOUGH * 10 + spann.COPIES)
+        share += sizes[read].sum() / sizes.sum()
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += sum(len(np.intersect1d(read, held[j])) > 0 for j in np.argpartition(d, 10)[:10])
+    assert hit / 600 >= 0.9 and share / 60 <= 0.3
+
+
+def test_neighbours_of_mixed_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.normal(size=3)]) for i in range(47)]
+    rows += [(100, [1.0, 2.0]), (200, [3.0, 4.0])]  # queries of another length take no part
+    rows += [(7, rows[7][1])] * 3 + [(300, rows[7][1]), (7, [9.0, 9.0, 9.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = spann.nearest(vectors, vectors.where("vec_id IN (7, 100, 200, 300)")).toPandas()
+    assert set(got["query_id"]) == {7, 300}
+    assert (got.groupby("query_id").size() == 10).all() and not got.duplicated(["query_id", "vec_id"]).any()
+    assert got[(got["query_id"] == 300) & (got["rank"] == 1)][["vec_id", "score"]].to_numpy().tolist() == [[7, 0.0]]
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(0, 500)], "vec_id long, embedding array<double>")
+    got = spann.nearest(same, same.where("vec_id = 300")).orderBy("rank")
+    assert [r["vec_id"] for r in got.collect()] == list(range(10))
+
+
 def test_neighbours(spark, none):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
