@@ -23,6 +23,22 @@ def words(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     return F.filter(found, lambda w: F.char_length(w).between(least, most))
 
 
+def log_weights(held: Column) -> Column:
+    """The sum of ``log(tf) + 1`` over the distinct words of an array, by sorting it and measuring runs: each word is looked at once."""
+
+    def over_runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.get(F.transform(F.array(starts), lambda b: _logs_of(b, F.size(s))), 0)
+
+    # an array of one element binds the sorted words, so that they are sorted once
+    return F.when(F.size(held) == 0, F.lit(0.0)).otherwise(F.get(F.transform(F.array(F.array_sort(held)), over_runs), 0))
+
+
+def _logs_of(starts: Column, n: Column) -> Column:
+    runs = F.zip_with(starts, F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(n)), lambda a, b: b - a)
+    return F.aggregate(runs, F.lit(0.0), lambda total, tf: total + F.log(tf.cast("double")) + 1)
+
+
 def match_natural(df: DataFrame, key: str, text: str, query: str, stopwords: frozenset[str] = frozenset()) -> DataFrame:
     """(key, score) of rows with a score above 0.
 
@@ -36,7 +52,7 @@ def match_natural(df: DataFrame, key: str, text: str, query: str, stopwords: fro
     if not wanted:
         return rows.select(F.col("key").alias(key), F.lit(0.0).alias("score")).where("false")
     shaped = rows.withColumn("u", distinct).withColumn("n", F.size("u")).withColumn("hits", F.array_intersect("u", F.array(*map(F.lit, wanted))))
-    shaped = shaped.withColumn("logs", F.when(F.size("hits") > 0, F.aggregate("u", F.lit(0.0), lambda a, x: a + F.log(counts(x).cast("double")) + 1)))
+    shaped = shaped.withColumn("logs", F.when(F.size("hits") > 0, log_weights(F.col("w"))))
     hits = shaped.where(F.size("hits") > 0).select("key", "n", "logs", F.explode(F.transform("hits", lambda x: F.struct(x.alias("word"), counts(x).alias("tf")))).alias("h"))
     hits = hits.select("key", "h.word", ((F.log(F.col("h.tf").cast("double")) + 1) / F.col("logs") * F.col("n") / (1 + PIVOT * F.col("n"))).alias("weight"))
     df_ = hits.groupBy("word").agg(F.count("*").alias("df"))  # a row for each query word

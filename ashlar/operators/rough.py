@@ -13,8 +13,11 @@ def metadata_aggregate(spark: SparkSession, path: str, columns: list[str]) -> Da
     """COUNT(*), and MIN, MAX and COUNT of each column, answered by the footers of Parquet files.
 
     Uses the v2 Parquet source with aggregate push-down, so that a scan reads footers only; the
-    plan shows ``PushedAggregation``.
+    plan shows ``PushedAggregation``.  The source is chosen in a session of its own: the caller's stays as it is.
     """
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark = spark.newSession()
+    spark.conf.set("spark.sql.session.timeZone", zone)
     spark.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
     spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
     aggs = [F.count("*").alias("rows")]

@@ -39,9 +39,9 @@ def var_std_family(spark, d):
     )
 
 
-@register("var_samp_small_groups", "SELECT o_orderkey, var_samp(o_totalprice) AS samp, var_pop(o_totalprice) AS pop FROM orders WHERE o_orderkey < 200 GROUP BY o_orderkey")
+@register("var_samp_small_groups", "SELECT l_orderkey, round(var_samp(l_quantity), 6) AS samp, round(var_pop(l_quantity), 6) AS pop FROM lineitem GROUP BY l_orderkey")
 def var_samp_small_groups(spark, d):
-    return table(spark, d, "orders").where("o_orderkey < 200").groupBy("o_orderkey").agg(F.var_samp("o_totalprice").alias("samp"), F.var_pop("o_totalprice").alias("pop"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.var_samp("l_quantity"), 6).alias("samp"), F.round(F.var_pop("l_quantity"), 6).alias("pop"))
 
 
 @register("bit_aggs", "SELECT l_returnflag, bit_and(l_orderkey | 1) AS a, bit_or(l_partkey) AS o, bit_xor(l_suppkey) AS x FROM lineitem GROUP BY l_returnflag")

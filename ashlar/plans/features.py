@@ -22,6 +22,8 @@ def scratch(spark) -> str:
         import uuid
 
         return f"{base.rstrip('/')}/ashlar-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="ashlar-")
 
 
@@ -58,7 +60,7 @@ def partition_pruning(spark, d):
 
 @register("rough_answer", "SELECT count(*) AS rows, min(l_orderkey) AS low, max(l_orderkey) AS high, 'SOME' AS rough FROM lineitem")
 def rough_answer(spark, d):
-    return rough.rough_filter(rough.metadata_aggregate(spark.newSession(), f"{d}/lineitem.parquet", ["l_orderkey"]), "l_orderkey", 100, 200)
+    return rough.rough_filter(rough.metadata_aggregate(spark, f"{d}/lineitem.parquet", ["l_orderkey"]), "l_orderkey", 100, 200)
 
 
 @register("replace_rows", "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN 'new' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 100, 'new', 9")
@@ -114,13 +116,13 @@ def binary_records(spark, d):
     return records.unpack(held, {"k": "<i4", "name": "S16", "half": "<f8"})
 
 
-@register("memory_tables", "SELECT o_orderstatus, sum(o_totalprice)::DOUBLE AS s, max(o_orderkey) AS m FROM (SELECT * FROM orders WHERE o_orderkey < 100 UNION ALL SELECT * FROM orders WHERE o_orderkey < 10) GROUP BY o_orderstatus")
+@register("memory_tables", "SELECT o_orderstatus, round(sum(o_totalprice), 2) AS s, max(o_orderkey) AS m FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'F') GROUP BY o_orderstatus")
 def memory_tables(spark, d):
     mt = memory.MemoryTables(spark)
     o = table(spark, d, "orders")
-    mt.add("ashlar_orders", o.where("o_orderkey < 100"))
-    mt.append("ashlar_orders", o.where("o_orderkey < 10"))
-    return mt.calc("ashlar_orders", ["o_orderstatus"], {"o_totalprice": "sum", "o_orderkey": "max"}).select("o_orderstatus", F.col("sum_o_totalprice").alias("s"), F.col("max_o_orderkey").alias("m"))
+    mt.add("ashlar_orders", o)
+    mt.append("ashlar_orders", o.where("o_orderstatus = 'F'"))
+    return mt.calc("ashlar_orders", ["o_orderstatus"], {"o_totalprice": "sum", "o_orderkey": "max"}).select("o_orderstatus", F.round("sum_o_totalprice", 2).alias("s"), F.col("max_o_orderkey").alias("m"))
 
 
 @register("scalar_udf", "SELECT p_partkey, (p_size * 2 + length(p_name))::BIGINT AS v FROM part")
@@ -175,14 +177,14 @@ def xml_values(spark, d):
     return table(spark, d, "nation").select("n_nationkey", xml.extract_value(doc, "/a/n").alias("name"), xml.extract_value(doc, "/a/p").alias("parts"))
 
 
-@register("spatial_rectangles", "SELECT a.s_suppkey AS a, b.n_nationkey AS b FROM supplier a JOIN nation b ON abs(a.s_suppkey % 25 - b.n_nationkey) <= 2 WHERE a.s_suppkey < 30")
+@register("spatial_rectangles", "SELECT a.s_suppkey AS a, b.n_nationkey AS b FROM supplier a JOIN nation b ON abs(a.s_suppkey % 25 - b.n_nationkey) <= 2")
 def spatial_rectangles(spark, d):
     """Rectangles two wide meet within a range join on their left ends, then by the exact predicate."""
     from ashlar.functions import spatial
     from ashlar.operators import joins
 
     wkt = lambda x: F.concat(F.lit("LINESTRING("), x.cast("string"), F.lit(" 0,"), (x + 2).cast("string"), F.lit(" 1)"))
-    a = table(spark, d, "supplier").where("s_suppkey < 30").select("s_suppkey", spatial.rectangle(wkt(F.col("s_suppkey") % 25)).alias("ra")).withColumn("x", F.col("ra.x1"))
+    a = table(spark, d, "supplier").select("s_suppkey", spatial.rectangle(wkt(F.col("s_suppkey") % 25)).alias("ra")).withColumn("x", F.col("ra.x1"))
     b = table(spark, d, "nation").select("n_nationkey", spatial.rectangle(wkt(F.col("n_nationkey"))).alias("rb"))
     b = b.withColumn("lo", F.col("rb.x1") - 2).withColumn("hi", F.col("rb.x2"))
     met = joins.range_join(a, b, "x", "lo", "hi", 4.0).where(spatial.intersects(F.col("ra"), F.col("rb")))

@@ -63,12 +63,12 @@ def three_valued_logic(spark, d):
     return cross.select(a.cast("int").alias("a"), b.cast("int").alias("b"), *[c.cast("int").alias(k) for k, c in out.items()])
 
 
-@register("row_in", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('A', 'F'), ('R', 'F')) AND (l_linenumber, l_returnflag) <> (1, 'A') AND l_orderkey % 50 = 0")
+@register("row_in", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('A', 'F'), ('R', 'F')) AND (l_linenumber, l_returnflag) <> (1, 'A')")
 def row_in(spark, d):
     pair = F.struct("l_returnflag", "l_linestatus")
     wanted = F.array(*[F.struct(F.lit(a).alias("l_returnflag"), F.lit(b).alias("l_linestatus")) for a, b in (("A", "F"), ("R", "F"))])
     other = ~((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "A"))
-    return table(spark, d, "lineitem").where(F.array_contains(wanted, pair) & other & (F.col("l_orderkey") % 50 == 0)).select("l_orderkey", "l_linenumber")
+    return table(spark, d, "lineitem").where(F.array_contains(wanted, pair) & other).select("l_orderkey", "l_linenumber")
 
 
 @register(
