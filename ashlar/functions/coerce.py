@@ -79,3 +79,18 @@ def collated(text: Column) -> Column:
 
 def binary(text: Column) -> Column:
     return F.collate(text, "UTF8_BINARY")
+
+
+def year(text: Column) -> Column:
+    """YEAR: four digits, or two that mean 1970 to 2069; 1901 to 2155 and 0, NULL for others."""
+    n = F.regexp_extract(text.cast("string"), r"^\s*([0-9]{1,4})\s*$", 1).try_cast("int")
+    full = F.when(F.length(F.trim(text.cast("string"))) <= 2, F.when(n < 70, n + 2000).otherwise(n + 1900)).otherwise(n)
+    return F.when(full.between(1901, 2155) | (full == 0), full)
+
+
+def decimal(text: Column, digits: int, scale: int) -> Column:
+    """A decimal out of the number at the start of a string, rounded half away from zero and held within its digits."""
+    found = F.regexp_extract(text.cast("string"), _NUMBER, 1).try_cast("decimal(38,10)")
+    most = F.lit("9" * (digits - scale) + "." + "9" * scale).cast(f"decimal(38,{scale})")
+    value = F.round(F.coalesce(found, F.lit(0).cast("decimal(38,10)")), scale).cast(f"decimal(38,{scale})")
+    return F.when(text.isNotNull(), F.least(F.greatest(value, -most), most).cast(f"decimal({digits},{scale})"))

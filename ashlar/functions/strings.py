@@ -159,8 +159,7 @@ def password(s: Column) -> Column:
     return F.when(F.octet_length(s) == 0, "").otherwise(F.concat(F.lit("*"), F.upper(F.sha1(F.unhex(F.sha1(s.cast("binary")))))))
 
 
-def compress(s: Column) -> Column:
-    """Length in four bytes, low byte first, then zlib; needs Python (Arrow batches)."""
+def compress_udf():
     @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:
         import struct
@@ -168,10 +167,10 @@ def compress(s: Column) -> Column:
 
         return texts.map(lambda t: None if t is None else b"" if not t else struct.pack("<I", len(b := t.encode())) + zlib.compress(b))
 
-    return run(s)
+    return run
 
 
-def uncompress(b: Column) -> Column:
+def uncompress_udf():
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         import zlib
@@ -184,7 +183,17 @@ def uncompress(b: Column) -> Column:
 
         return values.map(one)
 
-    return run(b)
+    return run
+
+
+def compress(s: Column) -> Column:
+    """Length in four bytes, low byte first, then zlib; needs Python (Arrow batches)."""
+    return compress_udf()(s)
+
+
+def uncompress(b: Column) -> Column:
+    """NULL for what isn't compressed text."""
+    return uncompress_udf()(b)
 
 
 def uncompressed_length(b: Column) -> Column:

@@ -22,6 +22,11 @@ def text_variance(x: Column) -> Column:
     return F.var_pop(to_number(x))
 
 
+def average(total: Column, n: Column, scale: int, increment: int = 4) -> Column:
+    """AVG of exact numbers out of their sum and count: ``scale`` of the argument and four more digits; NULL for none."""
+    return F.round(F.try_divide(total.cast("decimal(38,10)"), n.cast("decimal(20,0)")), scale + increment).cast(f"decimal(38,{scale + increment})")
+
+
 def group_concat(x: Column, sep: str = ",", order: Column | None = None, distinct: bool = False, most: int = 1024) -> Column:
     """GROUP_CONCAT: NULLs left out, NULL for none, cut at ``most`` characters (the dialect's own limit on this function's result)."""
     x = x.cast("string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,27 @@ def update_join(table: DataFrame, other: DataFrame, on: str, values: dict[str, C
 def delete_join(table: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     """DELETE t FROM t, o WHERE t.on = o.on."""
     return table.join(other.select(*on).distinct(), on, "left_anti")
+
+
+def create_table_as(df: DataFrame, path: str) -> DataFrame:
+    """CREATE TABLE .. SELECT: the rows are written once and read back with their types."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_all(table: DataFrame) -> DataFrame:
+    """DELETE without a condition: the columns stay."""
+    return table.limit(0)
+
+
+def truncate_partition(spark: SparkSession, path: str, **values) -> bool:
+    """Drops one folder of a partitioned table, without reading it; false if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/" + "/".join(f"{k}={v}" for k, v in values.items()))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def with_check_option(rows: DataFrame, condition: Column) -> DataFrame:
+    """Rows to be written through a view: one that the view would not show raises as it is written."""
+    first = rows.columns[0]
+    checked = F.when(F.coalesce(condition, F.lit(False)), F.col(f"`{first}`")).otherwise(F.raise_error(F.lit("CHECK OPTION failed")).cast(rows.schema[first].dataType))
+    return rows.withColumn(first, checked)

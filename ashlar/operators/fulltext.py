@@ -39,14 +39,14 @@ def _logs_of(starts: Column, n: Column) -> Column:
     return F.aggregate(runs, F.lit(0.0), lambda total, tf: total + F.log(tf.cast("double")) + 1)
 
 
-def match_natural(df: DataFrame, key: str, text: str, query: str, stopwords: frozenset[str] = frozenset()) -> DataFrame:
-    """(key, score) of rows with a score above 0.
+def match_natural(df: DataFrame, key: str, text: str, query: str, stopwords: frozenset[str] = frozenset(), parser=words) -> DataFrame:
+    """(key, score) of rows with a score above 0.  ``parser`` makes the array of words of a text: the parser plug-in.
 
     Only the query's words are exploded, so that what is shuffled is a few rows for each row that
     has them; statistics are over all rows.
     """
     wanted = sorted({w for w in re.findall(r"[\w']+", query.lower()) if LEAST <= len(w) <= MOST} - stopwords)
-    rows = df.select(F.col(key).alias("key"), words(F.col(text)).alias("w"))
+    rows = df.select(F.col(key).alias("key"), parser(F.col(text)).alias("w"))
     distinct = F.array_distinct("w")
     counts = lambda x: F.size(F.filter(F.col("w"), lambda y: y == x))
     if not wanted:
@@ -67,7 +67,7 @@ def _begins(held: Column, prefix: str) -> Column:
 
 
 def boolean_condition(text: Column, query: str) -> Column:
-    """Boolean mode: ``+must -not word* "a phrase" (group)``; ``> < ~`` only change the rank and are read over."""
+    """Boolean mode: ``+must -not word* "a phrase" (group)``; ``> < ~`` only change the rank and are read over here, and counted by :func:`boolean_score`."""
     low = F.lower(F.coalesce(text, F.lit("")))
     held = words(text, least=1)
     tokens = re.findall(r'\s*([+\-~<>]*)(?:"([^"]*)"|\(([^)]*)\)|([^\s()"]+))', query.lower())
@@ -93,3 +93,29 @@ def boolean_condition(text: Column, query: str) -> Column:
             some = some | c
         out = out & some
     return out if must or may else F.lit(False)
+
+
+#: What a word counts that is raised by ``>`` or lowered by ``<`` once.
+RAISED, LOWERED, NEGATED = 1.5, 0.66666666666667, -0.5
+
+
+def boolean_score(text: Column, query: str) -> Column:
+    """The rank of a row that meets ``query`` in Boolean mode, 0 for others.
+
+    Every word found counts 1, ``>`` and ``<`` make that more or less, ``~`` takes some off; the weights of words that must be
+    there are divided by their number.  Parts in parentheses count as the sum of their words.
+    """
+    held = words(text, least=1)
+    tokens = re.findall(r'\s*([+\-~<>]*)(?:"([^"]*)"|\(([^)]*)\)|([^\s()"]+))', query.lower())
+    musts = max(sum("+" in sign for sign, *_ in tokens), 1)
+    total = F.lit(0.0)
+    for sign, phrase, group, word in tokens:
+        if "-" in sign:
+            continue
+        weight = (NEGATED if "~" in sign else 1.0) * RAISED ** sign.count(">") * LOWERED ** sign.count("<") / (musts if "+" in sign else 1)
+        if group:
+            total = total + boolean_score(text, group) * weight
+        else:
+            part = boolean_condition(text, f'"{phrase}"') if phrase else _begins(held, word[:-1]) if word.endswith("*") else F.array_contains(held, word)
+            total = total + F.when(part, F.lit(weight)).otherwise(F.lit(0.0))
+    return F.when(boolean_condition(text, query), total).otherwise(F.lit(0.0))

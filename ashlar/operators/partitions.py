@@ -37,3 +37,9 @@ def write(df: DataFrame, path: str, parts: dict[str, Column], mode: str = "overw
     """Rows are brought together by partition first, so that each folder gets few files."""
     out = df.withColumns(parts)
     out.repartition(*parts).write.mode(mode).partitionBy(*parts).parquet(path)
+
+
+def write_subpartitioned(df: DataFrame, path: str, part: Column, subparts: int, *keys: Column, mode: str = "overwrite") -> None:
+    """PARTITION BY .. SUBPARTITION BY HASH or KEY: folders within folders, both pruned."""
+    sub = by_hash(keys[0], subparts) if len(keys) == 1 else by_key(subparts, *keys)
+    write(df, path, {"part": part, "subpart": sub}, mode)

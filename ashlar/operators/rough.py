@@ -37,3 +37,26 @@ def rough_filter(bounds: DataFrame, column: str, low, high) -> DataFrame:
 def distinct_bound(bounds: DataFrame, column: str) -> DataFrame:
     """An upper bound of the distinct values of an integer column: its range, or its rows if fewer."""
     return bounds.select(F.least(F.col(f"n_{column}"), F.col(f"max_{column}") - F.col(f"min_{column}") + 1).cast("long").alias("at_most"))
+
+
+def column_statistics(df: DataFrame) -> DataFrame:
+    """(column, rows, nulls, min, max, sum, max_length) of every column in one pass, as a load keeps them beside the data."""
+    parts = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        number = c.cast("double") if kind in _NUMBERS or kind.startswith("decimal") else F.lit(None).cast("double")
+        length = F.octet_length(c) if kind == "string" else F.lit(None).cast("int")
+        parts.append(
+            F.struct(
+                F.lit(name).alias("column"), F.count("*").alias("rows"), F.count_if(c.isNull()).alias("nulls"), F.min(c).cast("string").alias("min"), F.max(c).cast("string").alias("max"),
+                F.sum(number).alias("sum"), F.max(length).alias("max_length"),
+            )
+        )
+    one = df.agg(*[p.alias(f"c{i}") for i, p in enumerate(parts)])
+    return one.select(F.explode(F.array(*[f"c{i}" for i in range(len(parts))])).alias("s")).select("s.*")
+
+
+def write_with_statistics(df: DataFrame, path: str) -> None:
+    """Writes ``df`` and, beside it, its statistics, so that sums and lengths are answered without the data."""
+    df.write.parquet(f"{path}/data")
+    column_statistics(df.sparkSession.read.schema(df.schema).parquet(f"{path}/data")).coalesce(1).write.parquet(f"{path}/statistics")

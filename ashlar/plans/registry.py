@@ -53,3 +53,4 @@ def pricing_summary(spark, sf_dir):
 
 # the modules register their queries as they are imported
 from ashlar.plans import aggregation, features, filters, joining, ordering, scalars, subqueries  # noqa: E402, F401
+from ashlar.plans import more, texts  # noqa: E402, F401

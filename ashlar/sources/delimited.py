@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ashlar.functions import coerce, dates
+
 
 @dataclass(frozen=True)
 class TextFormat:
@@ -88,3 +91,50 @@ def dump(df: DataFrame) -> bytes:
 def write_sorted(df: DataFrame, path: str, by: list[str], mode: str = "error") -> None:
     """Rows in ranges of ``by``, each file sorted, so that row groups have narrow bounds."""
     df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode(mode).parquet(path)
+
+
+def parse_fields(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Text columns of a load as the dialect's types: int, bigint, decimal(p,s), double, date, datetime, time, year.
+
+    ``int`` and its like are held within their range; a date or time that isn't one is NULL.
+    """
+    out = {}
+    for name, kind in kinds.items():
+        c = F.col(f"`{name}`")
+        if kind in coerce.RANGES:
+            out[name] = coerce.clamp(coerce.to_number(c), kind)
+        elif kind.startswith("decimal"):
+            digits, scale = (int(x) for x in kind[8:-1].split(","))
+            out[name] = coerce.decimal(c, digits, scale)
+        elif kind == "double":
+            out[name] = coerce.to_number(c)
+        elif kind == "date":
+            out[name] = F.regexp_replace(F.trim(c), r"[./]", "-").try_cast("date")
+        elif kind == "datetime":
+            out[name] = F.trim(c).try_cast("timestamp_ntz")
+        elif kind == "time":
+            out[name] = dates.parse_time(c)
+        elif kind == "year":
+            out[name] = coerce.year(c)
+        else:
+            raise ValueError(kind)
+    return rows.withColumns(out)
+
+
+def load_local(spark: SparkSession, source: Iterable[bytes], path: str, schema: str, fmt: TextFormat = TextFormat(), chunk: int = 50_000) -> DataFrame:
+    """LOAD DATA LOCAL: the client's lines, from an open file or a pipe, are handed to the cluster ``chunk`` at a time and then loaded."""
+    lines: list[tuple[str]] = []
+
+    def hand_over() -> None:
+        # one file a chunk: the order of lines is kept
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").option("lineSep", fmt.lines).text(path)
+        lines.clear()
+
+    for i, line in enumerate(source):
+        text = line.decode(fmt.charset).removeprefix("\ufeff") if not i else line.decode(fmt.charset)
+        lines.append((text.rstrip("\r\n"),))
+        if len(lines) >= chunk:
+            hand_over()
+    if lines:
+        hand_over()
+    return load(spark, path, schema, fmt)

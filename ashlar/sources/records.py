@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+END = "\n"
 _KINDS = {"<i2": "short", "<i4": "int", "<i8": "long", "<f4": "float", "<f8": "double"}
 
 
@@ -21,6 +23,25 @@ def load_binary(spark: SparkSession, path: str, fields: dict[str, str]) -> DataF
     return unpack(spark.sparkContext.binaryRecords(path, size).map(lambda r: (bytearray(r),)).toDF("record binary"), fields)
 
 
+def pack(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Typed columns as one column ``record`` of little-endian records, all of one size."""
+    kind = np.dtype([(k, v) for k, v in fields.items()])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = np.zeros(len(b), dtype=kind)
+            for k, v in fields.items():
+                out[k] = [x.encode() for x in b[k]] if v.startswith("S") else b[k]
+            yield pd.DataFrame({"record": [r.tobytes() for r in out]})
+
+    return rows.select(*fields).mapInPandas(run, "record binary")
+
+
+def write_binary(packed: DataFrame, path: str) -> None:
+    """Files of the records, one a partition; the text writer puts their bytes down as they are, and after each the byte ``END``, a last field of kind S1."""
+    packed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).text(path)
+
+
 def unpack(raw: DataFrame, fields: dict[str, str]) -> DataFrame:
     """A column ``record`` of binary records as typed columns."""
     kind = np.dtype([(k, v) for k, v in fields.items()])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +31,10 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str, trigger_once:
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (q.trigger(availableNow=True) if trigger_once else q).start()
+
+
+def scheduled(spark: SparkSession, action: Callable[[SparkSession, int], None], seconds: float, checkpoint: str):
+    """A scheduled event: ``action(spark, number)`` runs every so many seconds until the query is stopped; after a restart its numbers go on."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    q = ticks.writeStream.foreachBatch(lambda batch, number: action(batch.sparkSession, number)).option("checkpointLocation", checkpoint)
+    return q.trigger(processingTime=f"{seconds} seconds").start()

@@ -114,3 +114,59 @@ def test_streams(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     batch = windowed_counts(events, "ts", ["event_type"], "1 day")
     assert sorted((str(r[0]), r[1], r[2]) for r in spark.table("ashlar_counts").collect()) == sorted((str(r[0]), r[1], r[2]) for r in batch.collect())
+
+
+def test_view_refuses_rows_that_it_would_not_show(spark):
+    rows = spark.createDataFrame([(1, "a"), (9, "b")], "k int, s string")
+    with pytest.raises(Exception, match="CHECK OPTION"):
+        changes.with_check_option(rows, F.col("k") < 5).collect()
+    assert changes.with_check_option(rows.where("k = 1"), F.col("k") < 5).count() == 1
+
+
+def test_wide_ranges_are_not_copied_often(spark):
+    p = spark.createDataFrame([(x,) for x in (1.0, 700.0, 90_000.0, -3.0, 2_000_000.0)], "p double")
+    r = spark.createDataFrame([(0.0, 10.0), (0.0, 1e6), (600.0, 800.0)], "lo double, hi double")
+    for how in ("inner", "left"):
+        got = joins.range_join(p, r, "p", "lo", "hi", 1.0, how).collect()
+        want = [(x["p"], y["lo"], y["hi"]) for x in p.collect() for y in r.collect() if y["lo"] <= x["p"] <= y["hi"]]
+        want += [(-3.0, None, None), (2_000_000.0, None, None)] if how == "left" else []
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_triggers_and_schedules(spark, tmp_path):
+    from ashlar import procedures
+    from ashlar.streaming import scheduled
+
+    seen = []
+    triggers = procedures.Triggers()
+    triggers.create("t", lambda rows: seen.append(rows.count()))
+    triggers.insert("t", spark.range(3), f"{tmp_path}/t")
+    assert seen == [3] and spark.read.parquet(f"{tmp_path}/t").count() == 3
+    ran = []
+    q = scheduled(spark, lambda s, number: ran.append(number), 0.5, f"{tmp_path}/c")
+    for _ in range(60):
+        if len(ran) >= 2:
+            break
+        q.awaitTermination(1)
+    q.stop()
+    assert ran[:2] == [0, 1]
+
+
+def test_result_cache_forgets_changed_tables(spark):
+    from ashlar import procedures
+
+    cache = procedures.ResultCache(spark)
+    for _ in range(2):
+        assert cache.query("SELECT count(*) AS n FROM r", {"r": spark.range(3)}).first()["n"] == 3
+    cache.invalidate("r")
+    assert cache.hits == 1 and cache.query("SELECT count(*) AS n FROM r", {"r": spark.range(5)}).first()["n"] == 5
+
+
+def test_limit_reaches_the_scan_and_the_join(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    plan = o.where("o_totalprice > 0").limit(3)._jdf.queryExecution().executedPlan().toString()
+    assert "CollectLimit 3" in plan or "LocalLimit" in plan
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    plan = c.join(o, c.c_custkey == o.o_custkey, "left").limit(3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalLimit 3") == 2  # also on the side that is kept whole
+
