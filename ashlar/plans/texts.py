@@ -101,8 +101,8 @@ text_query(
 
 text_query(
     "text_xor",
-    "SELECT n_nationkey FROM nation WHERE n_regionkey = 1 XOR n_nationkey > 10 AND n_nationkey < 20 XOR NOT n_name LIKE 'i%' OR n_nationkey = 3 && n_regionkey = 1",
-    "SELECT n_nationkey FROM nation WHERE (((n_regionkey = 1) <> (n_nationkey > 10 AND n_nationkey < 20)) <> (NOT n_name ILIKE 'i%')) OR (n_nationkey = 3 AND n_regionkey = 1)",
+    "SELECT n_nationkey FROM nation WHERE n_regionkey = 1 XOR n_nationkey > 10 AND n_nationkey < 20 XOR NOT n_name LIKE 'nation_1%' OR n_nationkey = 3 && n_regionkey = 1",
+    "SELECT n_nationkey FROM nation WHERE (((n_regionkey = 1) <> (n_nationkey > 10 AND n_nationkey < 20)) <> (NOT n_name ILIKE 'nation_1%')) OR (n_nationkey = 3 AND n_regionkey = 1)",
     "nation",
 )
 
@@ -115,8 +115,8 @@ text_query(
 
 text_query(
     "text_collation",
-    """SELECT n_nationkey, n_name = 'india  ' AS blind, BINARY n_name = 'india' AS exact_no, n_name COLLATE utf8_bin = 'INDIA' AS exact, 'a' = 'A ' AS literals, n_name IN ('china', 'japan') AS in_, n_name LIKE 'i%' AS like_, n_name LIKE BINARY 'i%' AS like_bin, n_name REGEXP '^[[:alpha:]]+A$' AS re, n_name NOT RLIKE 'an' AS nre, n_name < 'brazil' AS lt FROM nation""",
-    """SELECT n_nationkey, n_name = 'INDIA' AS blind, false AS exact_no, n_name = 'INDIA' AS exact, true AS literals, n_name IN ('CHINA', 'JAPAN') AS in_, n_name LIKE 'I%' AS like_, false AS like_bin, regexp_matches(n_name, '^[A-Z]+A$') AS re, NOT regexp_matches(n_name, 'AN') AS nre, n_name < 'BRAZIL' AS lt FROM nation""",
+    """SELECT n_nationkey, n_name = 'nation_3  ' AS blind, BINARY n_name = 'nation_3' AS exact_no, n_name COLLATE utf8_bin = 'NATION_3' AS exact, 'a' = 'A ' AS literals, n_name IN ('nation_1', 'Nation_2') AS in_, n_name LIKE 'nation_1%' AS like_, n_name LIKE BINARY 'nation%' AS like_bin, n_name REGEXP '^[[:alpha:]]+_1[[:digit:]]*$' AS re, n_name NOT RLIKE 'n_2' AS nre, n_name < 'nation_2' AS lt FROM nation WHERE n_name <> 'nation_5'""",
+    """SELECT n_nationkey, n_name = 'NATION_3' AS blind, false AS exact_no, n_name = 'NATION_3' AS exact, true AS literals, n_name IN ('NATION_1', 'NATION_2') AS in_, n_name LIKE 'NATION_1%' AS like_, false AS like_bin, regexp_matches(n_name, '^[A-Z]+_1[0-9]*$') AS re, NOT regexp_matches(n_name, 'N_2') AS nre, n_name < 'NATION_2' AS lt FROM nation WHERE n_name <> 'NATION_5'""",
     "nation",
 )
 

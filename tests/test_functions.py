@@ -86,7 +86,7 @@ def test_explain_and_create_table(spark):
 def test_single_value_tool(spark, sf_dir):
     from ashlar.__main__ import single_value
 
-    assert single_value(spark, "SELECT count(*) FROM nation WHERE n_name <> 'china'", {"nation": f"{sf_dir}/nation.parquet"}) == 24
+    assert single_value(spark, "SELECT count(*) FROM nation WHERE n_name <> 'nation_3'", {"nation": f"{sf_dir}/nation.parquet"}) == 24
 
 
 def test_years_and_decimals(spark):
