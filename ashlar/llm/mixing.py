@@ -9,7 +9,8 @@ with a uniform ``u`` from a hash of the id; they are taken in that order up to t
 words still wanted (the order's prefix whose sum is nearest to it), so that the sample's size is
 fixed, not random.
 
-Everything is DataFrame code.  A source may hold any share of all rows: sums are first taken by
+Everything is DataFrame code.  Sizes are written once, with what ranks a document, and the decisions are made from them.
+A source may hold any share of all rows: sums are first taken by
 (source, digits) or by (source, slice of the ranking), both of a fixed number of groups a source,
 and only the one slice in which the order is cut is ranked.  What comes of it is one row for each
 source and number of digits, which the documents meet in a last pass that moves no text.
@@ -167,7 +168,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     base = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"))
     base = base.withColumn("digits", F.length(F.bin("size")))
     base = _named(base, F.col("row").getField(text))
-    slim = base.select("name", "source", "size", "digits")
+    # words are counted twice in all: here, for all decisions, and where the documents meet them
+    slim = stored(base.select("name", "source", "size", "digits"), "mix-sizes")
     decisions = _decisions(slim, cap, seed)
     ranked = _ranked(_joined(slim, decisions, "source", "digits"), seed)
     cuts = stored(_cuts(ranked), "mix-cuts")
