@@ -1,15 +1,15 @@
 """Secret scans over a trigram inverted index, in DataFrame and SQL functions only.
 
-1. Each rule's regular expression gives a Boolean query of trigrams (:mod:`regex_trigrams`).
-2. The index holds the postings of every trigram that some rule's query names: (trigram, text).
-   Texts are known by (id, 64-bit hash of the text), so that rows that repeat share a posting.
-3. Postings are intersected: a text is a candidate of a rule if, for one of its alternatives, it
-   has as many of the trigrams as that alternative has.
+1. Each rule's regular expression gives a Boolean query of trigrams (:mod:`regex_trigrams`): ways, each of which asks for all of its trigrams.
+2. The index holds the postings (trigram, text) of the trigrams asked for, sorted by trigram, so that reading some of them skips the rest.
+   It is written once and serves any rules whose trigrams it has.  Texts are known by (id, 64-bit hash of the text), so that rows that repeat are one.
+3. Postings are intersected by joins, the rarest trigram of a way first, by the index's own counts: its texts alone are
+   looked up in the postings of the others.
 4. Candidates' texts are verified by the rule's own expression.  A rule without mandatory
    trigrams (``hex``) is run over every text.
-
-Positions come from ``split`` and ``regexp_extract_all``, whose pieces alternate: a match starts
-after all pieces and matches before it.  ``length`` counts code points.
+5. Positions come from ``split`` and ``regexp_extract_all``, whose pieces alternate: a match starts
+   after all pieces and matches before it.  These are laid out as rows and summed up by window functions, so that
+   a text with many matches takes no more time for each.  ``length`` counts code points.
 
 Defined results: a null text is an empty one and has no spans; texts of any length are scanned
 whole; rows that repeat each give their row; no rows give no rows; other columns pass through.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ashlar.llm.common import stored, table
@@ -59,80 +59,91 @@ ADDED = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
 )
 RULES = BASE + ADDED
+#: Trigrams of one way that are asked for: the bits of a long.
+MOST_GRAMS = 62
+SPANS = "array<struct<start:bigint,kind:int,end:bigint,before:bigint>>"
 
 
 def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
-    """(id, h, lower) -> (gram, id, h) for the given trigrams."""
+    """The index: (id, h, lower) -> (gram, id, h) for the given trigrams, sorted by trigram in each file."""
     there = [F.when(F.contains("lower", F.lit(g)), F.lit(g)) for g in grams]
-    return texts.select("id", "h", F.explode(F.array_compact(F.array(*there))).alias("gram"))
+    found = texts.select("id", "h", F.explode(F.array_compact(F.array(*there))).alias("gram"))
+    return stored(found.select("gram", "id", "h").sortWithinPartitions("gram"), "secret-postings")
 
 
 def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(id, h, kinds): the texts that meet the trigram query of at least one rule."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     grams = sorted({g for q in queries.values() for way in q for g in way})
+    if not grams:
+        return texts.select("id", "h", F.array(F.lit("")).alias("kinds")).where("false")
     index = postings(texts, grams)
-    # intersection: each text's postings are gathered, with map-side partial sets, and tested
-    held = index.groupBy("id", "h").agg(F.collect_set("gram").alias("grams"))
-    ways = [
-        (kind, F.size(F.array_intersect("grams", F.array(*map(F.lit, way)))) == len(way)) for kind, q in queries.items() for way in q
-    ]
-    kinds = F.array_distinct(F.array_compact(F.array(*[F.when(met, F.lit(kind)) for kind, met in ways])))
-    return held.select("id", "h", kinds.alias("kinds")).where(F.size("kinds") > 0)
-
-
-def spans_of(text: Column, rule: Rule) -> Column:
-    """An array of (start, end) of the rule's matches, in code points, failing ones dropped."""
+    # one number for each trigram that the rules name
+    often = {r["gram"]: r["n"] for r in index.groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    rows, way = [], 0
+    for kind, q in queries.items():
+        for asked in q:
+            # of a longer way its rarest trigrams are asked for; the expression decides in any case
+            asked = sorted(asked, key=lambda g: (often.get(g, 0), g))[:MOST_GRAMS]
+            rows += [(way, kind, g, 1 << i, (1 << len(asked)) - 1, i == 0) for i, g in enumerate(asked)]
+            way += 1
+    # a row for each trigram of each way of the rules
+    ways = F.broadcast(index.sparkSession.createDataFrame(rows, "way int, kind string, gram string, bit long, full long, rarest boolean"))
+    listed = index.join(ways, "gram").select("way", "kind", "full", "bit", "rarest", "id", "h")
+    first, others = listed.where("rarest"), listed.where("NOT rarest")
+    both = first.unionByName(others.join(first.select("way", "id", "h").distinct(), ["way", "id", "h"], "left_semi").select(first.columns))
+    met = both.groupBy("way", "kind", "full", "id", "h").agg(F.bit_or("bit").alias("held")).where("held = full")
+    return met.groupBy("id", "h").agg(F.collect_set("kind").alias("kinds"))
+
+
+def matches_of(text: Column, rule: Rule) -> Column:
+    """An array of (gap, size, long): characters since the match before, those of the match, and whether it counts; NULL for none."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     tested = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     pieces = F.split(text, rule.pattern, -1)
     steps = F.arrays_zip(whole.alias("m"), tested.alias("g"), F.slice(pieces, F.lit(1), F.size(whole)).alias("p"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,long:boolean>>")
-    start = lambda acc, x: (acc["at"] + F.length(x["p"])).cast("bigint")
-    end = lambda acc, x: (start(acc, x) + F.length(x["m"])).cast("bigint")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("found")),
-        lambda acc, x: F.struct(
-            end(acc, x).alias("at"),
-            F.concat(
-                acc["found"],
-                F.array(F.struct(start(acc, x).alias("start"), end(acc, x).alias("end"), (F.length(x["g"]) >= rule.least).alias("long"))),
-            ).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    kept = F.transform(F.filter(walked, lambda x: x["long"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return F.when(F.regexp_like(text, pattern), kept)
+    found = F.transform(steps, lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("size"), (F.length(x["g"]) >= rule.least).alias("long")))
+    return F.when(F.regexp_like(text, pattern), found)
+
+
+def _laid_out(texts: DataFrame, rules: list[tuple[int, Rule]], asked=lambda rule: F.lit(True)) -> DataFrame:
+    """(id, h, text) -> (id, h, kind, pos, gap, size, long), a row for each match."""
+    per_rule = [F.when(asked(r), F.struct(F.lit(i).alias("kind"), matches_of(F.col("text"), r).alias("found"))) for i, r in rules]
+    some = texts.select("id", "h", F.explode(F.filter(F.array(*per_rule), lambda x: x["found"].isNotNull())).alias("x"))
+    return some.select("id", "h", "x.kind", F.posexplode("x.found").alias("pos", "m")).select("id", "h", "kind", "pos", "m.gap", "m.size", "m.long")
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of ``docs`` as struct ``row``, with ``spans``: an array of (start, kind, end), ``kind`` the rule's place in ``rules``."""
+    """Every row of ``docs`` as struct ``row``, with ``spans``: an array of (start, kind, end, before).
+
+    ``kind`` is the rule's place in ``rules``, ``before`` the greatest end of the spans that come before.
+    """
     base = docs.select(
         F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     ).withColumn("h", F.xxhash64("text"))
-    full = [i for i, r in enumerate(rules) if trigram_query(r.pattern) is None]
-    indexed = [i for i in range(len(rules)) if i not in full]
-    tagged = lambda i, col: F.transform(
-        F.coalesce(col, F.array().cast("array<struct<start:bigint,end:bigint>>")),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end")),
-    )
-    everywhere = [tagged(i, spans_of(F.col("text"), rules[i])) for i in full]
-
-    texts = base.select("id", "h", F.lower("text").alias("lower"))
-    found = stored(candidates(texts, tuple(rules[i] for i in indexed)), "secret-candidates")
-    # only the candidates' texts are verified; the planner broadcasts the candidates where their written size allows
-    verified = base.select("id", "h", "text").join(found, ["id", "h"]).dropDuplicates(["id", "h"])
-    per_rule = [tagged(i, F.when(F.array_contains("kinds", rules[i].kind), spans_of(F.col("text"), rules[i]))) for i in indexed]
-    verified = verified.select("id", "h", F.concat(*per_rule).alias("some")).where(F.size("some") > 0)
-    verified = stored(verified, "secret-spans")
-
-    joined = base.select("row", "id", "h", F.concat(*everywhere, F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("all"))
-    b, v = joined.alias("b"), verified.alias("v")
+    full = [(i, r) for i, r in enumerate(rules) if trigram_query(r.pattern) is None]
+    indexed = [(i, r) for i, r in enumerate(rules) if (i, r) not in full]
+    texts = base.select("id", "h", "text")
+
+    parts = []
+    if indexed:
+        found = stored(candidates(texts.select("id", "h", F.lower("text").alias("lower")), tuple(r for _, r in indexed)), "secret-candidates")
+        # only the candidates' texts are verified; the planner broadcasts the candidates where their written size allows
+        parts.append(_laid_out(texts.join(found, ["id", "h"]), indexed, lambda r: F.array_contains("kinds", r.kind)))
+    if full:
+        parts.append(_laid_out(texts, full))
+    matches = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # rows that repeat give the same matches; what is sorted together is one text's
+    matches = matches.distinct().repartition("id", "h")
+    upto = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("id", "h", "kind").orderBy("pos"))
+    spans = matches.withColumn("end", upto).where("long").select("id", "h", (F.col("end") - F.col("size")).alias("start"), "kind", "end")
+    earlier = Window.partitionBy("id", "h").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("before", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    spans = spans.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "before"))).alias("spans"))
+    b, v = base.select("row", "id", "h").alias("b"), stored(spans, "secret-spans").alias("v")
     both = b.join(v, (F.col("b.id") == F.col("v.id")) & (F.col("b.h") == F.col("v.h")), "left")
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return both.select("b.row", F.array_sort(F.concat("b.all", F.coalesce("v.some", none))).alias("spans"))
+    return both.select("b.row", F.coalesce("v.spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def as_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -140,24 +151,29 @@ def as_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def redact(text: Column, spans: Column, mask: str = "*") -> Column:
-    """The text with every code point of the spans masked."""
-    return F.coalesce(
-        F.aggregate(
-            spans,
-            F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-            lambda acc, x: F.struct(
-                F.greatest(acc["at"], x["end"]).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int")),
-                    F.repeat(F.lit(mask), F.greatest(x["end"] - F.greatest(x["start"], acc["at"]), F.lit(0)).cast("int")),
-                ).alias("out"),
-            ),
-            lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))),
-        ),
-        text,
-    )
+    """The text with every code point of the spans masked.
+
+    Pieces are cut from the text in four bytes a character, where a place is found at once; a mark of the byte order
+    stands before each, so that a text's own is kept.
+    """
+    cut = lambda raw, at, n: F.decode(F.concat(F.lit(bytes([0, 0, 0xFE, 0xFF])), F.substring(raw, (at * 4 + 1).cast("int"), (n * 4).cast("int"))), "UTF-32")
+
+    def masked(raw: Column) -> Column:
+        piece = lambda x: F.concat(
+            cut(raw, x["before"], F.greatest(x["start"] - x["before"], F.lit(0))),
+            F.repeat(F.lit(mask), (x["end"] - F.greatest(x["start"], x["before"])).cast("int")),
+        )
+        pieces = F.transform(F.filter(spans, lambda x: x["end"] > x["before"]), piece)
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(F.array_join(pieces, ""), cut(raw, last, F.octet_length(raw) / 4 - last))
+
+    return F.when(F.size(spans) > 0, _let(F.encode(text, "UTF-32"), masked)).otherwise(text)
 
 
 def op4_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
