@@ -4,7 +4,7 @@
 2. The index holds the postings (trigram, text) of the trigrams asked for, sorted by trigram, so that reading some of them skips the rest.
    It is written once and serves any rules whose trigrams it has.  Texts are known by (id, 64-bit hash of the text), so that rows that repeat are one.
 3. Postings are intersected by joins, the rarest trigram of a way first, by the index's own counts: its texts alone are
-   looked up in the postings of the others.
+   looked up in the postings of the others, but for those more than ``LONGER`` times as long.
 4. Candidates' texts are verified by the rule's own expression.  A rule without mandatory
    trigrams (``hex``) is run over every text.
 5. Positions come from ``split`` and ``regexp_extract_all``, whose pieces alternate: a match starts
@@ -61,6 +61,7 @@ ADDED = (
 RULES = BASE + ADDED
 #: Trigrams of one way that are asked for: the bits of a long.
 MOST_GRAMS = 62
+LONGER = 8
 SPANS = "array<struct<start:bigint,kind:int,end:bigint,before:bigint>>"
 
 
@@ -80,19 +81,21 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     index = postings(texts, grams)
     # one number for each trigram that the rules name
     often = {r["gram"]: r["n"] for r in index.groupBy("gram").agg(F.count("*").alias("n")).collect()}
-    rows, way = [], 0
+    rows, kinds = [], []
     for kind, q in queries.items():
         for asked in q:
-            # of a longer way its rarest trigrams are asked for; the expression decides in any case
-            asked = sorted(asked, key=lambda g: (often.get(g, 0), g))[:MOST_GRAMS]
-            rows += [(way, kind, g, 1 << i, (1 << len(asked)) - 1, i == 0) for i, g in enumerate(asked)]
-            way += 1
-    # a row for each trigram of each way of the rules
-    ways = F.broadcast(index.sparkSession.createDataFrame(rows, "way int, kind string, gram string, bit long, full long, rarest boolean"))
-    listed = index.join(ways, "gram").select("way", "kind", "full", "bit", "rarest", "id", "h")
-    first, others = listed.where("rarest"), listed.where("NOT rarest")
-    both = first.unionByName(others.join(first.select("way", "id", "h").distinct(), ["way", "id", "h"], "left_semi").select(first.columns))
-    met = both.groupBy("way", "kind", "full", "id", "h").agg(F.bit_or("bit").alias("held")).where("held = full")
+            asked = sorted(asked, key=lambda g: (often.get(g, 0), g))
+            # lists far longer than the rarest's rule little out: the expression decides in any case
+            asked = [g for g in asked if often.get(g, 0) <= LONGER * often.get(asked[0], 0)][:MOST_GRAMS]
+            rows += [(len(kinds), g, 1 << i, i == 0) for i, g in enumerate(asked)]
+            kinds.append((len(kinds), kind, (1 << len(asked)) - 1))
+    # a row for each trigram of each way of the rules, and one for each way
+    ways = F.broadcast(index.sparkSession.createDataFrame(rows, "way int, gram string, bit long, rarest boolean"))
+    kinds = F.broadcast(index.sparkSession.createDataFrame(kinds, "way int, kind string, full long"))
+    listed = index.join(ways, "gram").select("way", "bit", "rarest", "id", "h")
+    first, others = listed.where("rarest").drop("rarest"), listed.where("NOT rarest").drop("rarest")
+    both = first.unionByName(others.join(first.select("way", "id", "h").distinct(), ["way", "id", "h"], "left_semi"))
+    met = both.groupBy("way", "id", "h").agg(F.bit_or("bit").alias("held")).join(kinds, "way").where("held = full")
     return met.groupBy("id", "h").agg(F.collect_set("kind").alias("kinds"))
 
 
