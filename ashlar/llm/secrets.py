@@ -117,14 +117,15 @@ def _laid_out(texts: DataFrame, rules: list[tuple[int, Rule]], asked=lambda rule
     return some.select("id", "h", "x.kind", F.posexplode("x.found").alias("pos", "m")).select("id", "h", "kind", "pos", "m.gap", "m.size", "m.long")
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of ``docs`` as struct ``row``, with ``spans``: an array of (start, kind, end, before).
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs``, its columns ``keep`` (all by default) as struct ``row``, with ``spans``: an array of (start, kind, end, before).
 
     ``kind`` is the rule's place in ``rules``, ``before`` the greatest end of the spans that come before.
     """
     base = docs.select(
-        F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).withColumn("h", F.xxhash64("text"))
+        F.struct(*(["*"] if keep is None else [F.col(f"`{c}`") for c in keep])).alias("row"),
+        F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+    ).withColumn("h", F.xxhash64("text"))
     full = [(i, r) for i, r in enumerate(rules) if trigram_query(r.pattern) is None]
     indexed = [(i, r) for i, r in enumerate(rules) if (i, r) not in full]
     texts = base.select("id", "h", "text")
@@ -180,7 +181,8 @@ def redact(text: Column, spans: Column, mask: str = "*") -> Column:
 
 
 def op4_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))))
+    # the texts don't travel: ids and hashes alone meet the spans
+    found = scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     n = lambda i: F.size(F.filter("spans", lambda x: x["kind"] == i)).cast("long")
     base = as_text(F.filter("spans", lambda x: x["kind"] < len(BASE)))
     return found.select(
