@@ -106,15 +106,16 @@ class Calibrated:
     def __init__(self, folds: int = 4, **trees):
         self.folds, self.options = folds, trees
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Calibrated:
+    def fit(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray | None = None, seen: list[np.ndarray] | None = None) -> Calibrated:
+        """``fold`` deals the rows; ``seen[k]`` are the rows' features as learnt without fold k, where features are learnt too."""
         self.trees = None
         self.constant = float(y.mean()) if len(y) else 0.5
         if len(y) < 20 or y.min() == y.max():
             return self
-        out, fold = np.zeros(len(y)), np.arange(len(y)) % self.folds
+        out, fold = np.zeros(len(y)), np.arange(len(y)) % self.folds if fold is None else fold
         for k in range(self.folds):
-            part = fold != k
-            out[~part] = Trees(**self.options).fit(x[part], y[part]).margin(x[~part])
+            part, z = fold != k, x if seen is None else seen[k]
+            out[~part] = Trees(**self.options).fit(z[part], y[part]).margin(z[~part])
         self.isotonic = Isotonic().fit(out, y)
         self.trees = Trees(**self.options).fit(x, y)
         return self

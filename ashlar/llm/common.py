@@ -72,9 +72,10 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, what: str) -> DataFrame:
     """(text, y) of at most ``rows`` labelled documents that are not held out, in the order of a hash of their ids.
 
-    The ids are at most ``rows`` in number, so that they are broadcast; documents are read once.
+    The ids are at most ``rows`` in number, so that they are broadcast; documents are read once.  Of rows that repeat an
+    id the least text is taken, the same in every run.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    return stored(some.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"), what)
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return stored(some.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), what)

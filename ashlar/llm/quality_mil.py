@@ -8,8 +8,8 @@ the document's passages, and a logistic unit scores the weighted vector.  All we
 together, from document labels alone, by Adam over whole bags; Platt's two parameters, fitted on
 a fifth of the sample that was kept back, calibrate the score.
 
-The model is fitted on at most ``SAMPLE`` labelled rows that are not held out (a documented
-bound); every text is scored whole.
+The model is fitted on at most ``SAMPLE`` labelled rows that are not held out, and on at most ``FIT_PASSAGES`` passages of
+each (documented bounds); every text is scored whole.
 
 Defined results: null and empty texts are one empty passage; without labelled rows of both kinds
 all scores are the share of label 1, or 0.5 if there are none at all.
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from ashlar.llm.common import held_out, labelled_sample, table
 
 SAMPLE = 6_000
+#: Passages of one document that the model is fitted on: those whose numbers have the least hashes.  All are scored.
+FIT_PASSAGES = 64
 PASSAGE = 400
 THRESHOLD = 0.3
 
@@ -56,10 +58,14 @@ def passages(text: str | None) -> np.ndarray:
         return np.zeros((1, FEATURES))
     kind = CLASS[raw]
     space = (kind == 4) | (kind == 5)
-    # cut at the first white space after each multiple of PASSAGE
-    at = np.flatnonzero(space)
-    cuts = np.unique(np.minimum(at[np.minimum(np.searchsorted(at, np.arange(PASSAGE, n, PASSAGE)), len(at) - 1)], n - 1)) if len(at) else np.array([], dtype=np.int64)
-    cuts = cuts[cuts >= PASSAGE // 2] if len(cuts) else cuts
+    # cut at the first white space after each multiple of PASSAGE, or there itself, between characters, if the next blank is far
+    at, goal = np.flatnonzero(space), np.arange(PASSAGE, n, PASSAGE)
+    cuts = np.concatenate((at, [n]))[np.searchsorted(at, goal)]
+    far = cuts - goal > PASSAGE
+    for _ in range(3):
+        goal = goal + ((raw[np.minimum(goal, n - 1)] & 0xC0) == 0x80)
+    cuts = np.unique(np.where(far, goal, cuts))
+    cuts = cuts[cuts < n]
     starts = np.concatenate(([0], cuts)).astype(np.int64)
     size = np.diff(np.concatenate((starts, [n])))
     which = np.repeat(np.arange(len(starts)), size)
@@ -103,6 +109,7 @@ def passages(text: str | None) -> np.ndarray:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLES: dict[str, np.ndarray] = {}
+KEPT = 1 << 22
 
 
 def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
@@ -110,7 +117,10 @@ def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
         size = 1 << max(16, (n + 1).bit_length())
         step = np.full(size, base, dtype=np.uint64)
         step[0] = 1
-        _TABLES[name] = np.multiply.accumulate(step)
+        table = np.multiply.accumulate(step)
+        if size > KEPT:  # a very long text's table is let go with the text
+            return table
+        _TABLES[name] = table
     return _TABLES[name]
 
 
@@ -157,22 +167,25 @@ class AttentionMIL:
         z = np.add.reduceat(att[:, None] * hid, starts)
         return hid, t, g, att, z, z @ p["c"] + p["e"][0]
 
+    def _gradient(self, x: np.ndarray, starts: np.ndarray, which: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss over the bags, by every weight."""
+        p = self.p
+        hid, t, g, att, z, margin = self._forward(x, starts, which)
+        dm = (1 / (1 + np.exp(-margin)) - y) / len(y)
+        dz = dm[:, None] * p["c"]
+        datt = (hid * dz[which]).sum(1)
+        ds = att * (datt - np.add.reduceat(att * datt, starts)[which])
+        dt, dg = ds[:, None] * p["w"] * g * (1 - t * t), ds[:, None] * p["w"] * t * g * (1 - g)
+        dh = (att[:, None] * dz[which] + dt @ p["V"].T + dg @ p["U"].T) * (1 - hid * hid)
+        return {"W": x.T @ dh, "b": dh.sum(0), "V": hid.T @ dt, "U": hid.T @ dg, "w": ((t * g) * ds[:, None]).sum(0), "c": z.T @ dm, "e": np.array([dm.sum()])}
+
     def _train(self, bags: list[np.ndarray], y: np.ndarray) -> None:
         x, starts, which = self._bags(bags)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         p = self.p
         for step in range(1, self.epochs + 1):
-            hid, t, g, att, z, margin = self._forward(x, starts, which)
-            dm = (1 / (1 + np.exp(-margin)) - y) / len(y)
-            dz = dm[:, None] * p["c"]
-            datt = (hid * dz[which]).sum(1)
-            ds = att * (datt - np.add.reduceat(att * datt, starts)[which])
-            dt, dg = ds[:, None] * p["w"] * g * (1 - t * t), ds[:, None] * p["w"] * t * g * (1 - g)
-            dh = (att[:, None] * dz[which] + dt @ p["V"].T + dg @ p["U"].T) * (1 - hid * hid)
-            grad = {
-                "W": x.T @ dh, "b": dh.sum(0), "V": hid.T @ dt, "U": hid.T @ dg, "w": ((t * g) * ds[:, None]).sum(0), "c": z.T @ dm, "e": np.array([dm.sum()]),
-            }
+            grad = self._gradient(x, starts, which, y)
             for k in p:
                 gk = grad[k] + self.decay * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * gk
@@ -211,15 +224,24 @@ def _platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, f
     return max(float(a), 0.05), float(b)
 
 
+def fitted_on(bag: np.ndarray) -> np.ndarray:
+    """The passages of a bag that the model is fitted on."""
+    if len(bag) <= FIT_PASSAGES:
+        return bag
+    number = np.arange(len(bag), dtype=np.uint64)
+    mixed = (number + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    return bag[np.sort(np.argsort(mixed ^ (mixed >> np.uint64(29)), kind="stable")[:FIT_PASSAGES])]
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> AttentionMIL:
     sample = labelled_sample(docs, labels, "quality", rows, "quality-sample")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            bags = [passages(t) for t in b["text"]]
+            bags = [fitted_on(passages(t)) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": (b["y"] > 0).astype(int), "n": [len(x) for x in bags], "x": [x.astype("<f4").tobytes() for x in bags]})
 
-    # the passages of at most ``rows`` documents, 180 bytes for each 400 of text
+    # FIT_PASSAGES passages, of 184 bytes each, of at most ``rows`` documents
     got = sample.mapInPandas(run, "doc_id long, y int, n int, x binary").toPandas().sort_values("doc_id")
     bags = [np.frombuffer(x, dtype="<f4").reshape(n, FEATURES).astype(float) for x, n in zip(got["x"], got["n"], strict=True)]
     return AttentionMIL().fit(bags, got["y"].to_numpy(dtype=float))

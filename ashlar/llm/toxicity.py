@@ -6,7 +6,8 @@ hits, capitals, exclamation and other marks, and rates of obfuscation (letters m
 or marks, and lexicon hits once these are undone).
 
 A small fixed lexicon is extended with the model: words and stems that toxic labelled texts use and
-others do not.  Lexicon and trees are fitted on at most ``SAMPLE`` labelled rows that are not held out
+others do not.  Scores are calibrated on folds that took no part in learning the lexicon and trees they are scored with.
+Lexicon and trees are fitted on at most ``SAMPLE`` labelled rows that are not held out
 (a documented bound); every text is scored whole.
 
 Defined results: null and empty texts are scored as texts without words; without labelled rows
@@ -26,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ashlar.llm.boosting import Calibrated
-from ashlar.llm.common import held_out, labelled_sample, table
+from ashlar.llm.common import held_out, labelled_sample, stored, table
 
 SAMPLE = 12_000
 STEMS = (4, 5, 6)
 NEAR = 6
 LEXICON = 4_000
+FOLDS = 4
+FEATURES = 15
 #: Least log-likelihood ratio of a term's counts, so that terms are not learnt by chance out of some 100,000.
 SURPRISE = 22.0
 THRESHOLD = 0.5
@@ -44,10 +47,10 @@ SECOND_PERSON = frozenset(
     "you your yours yourself u du dich dir dein deine deinen euch ihr tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split()
 )
 # Words that the lexicon has from the start.
-SEED = (
+SEED = tuple(
     "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown dumb fool imbecile pig bastard vermin filth "
-    "dummkopf trottel abschaum dreckskerl vollidiot imbécile crétin connard ordure abruti imbécil estúpido basura escoria cretino"
-).split()
+    "dummkopf trottel abschaum dreckskerl vollidiot imbécile crétin connard ordure abruti imbécil estúpido basura escoria cretino".split()
+)
 SEED_ODDS = 4.0
 UNMASK = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "#": ""})
 
@@ -101,28 +104,37 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
 _NO_CAPITALS = {c: None for c in range(ord("A"), ord("Z") + 1)}
 
 
-def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Terms with the log odds of toxic against other texts, counted by text over the sample; at most ``LEXICON``."""
+def learn_lexicons(sample: DataFrame, seed: tuple[str, ...] = SEED) -> list[dict[str, float]]:
+    """Terms with the log odds of toxic against other texts, counted by text: without each of ``FOLDS`` folds, then over all.
+
+    Each has at most ``LEXICON`` terms besides ``seed``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, y in zip(b["text"], b["y"], strict=True):
-                counts[int(y > 0)].update(terms(text))
-            yield pd.DataFrame([(w, k, c) for k, x in counts.items() for w, c in x.items()], columns=["term", "y", "n"])
-
-    size = {int(r["y"] > 0): r["n"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    toxic, other = size.get(1, 0), size.get(0, 0)
-    if not toxic or not other:
-        return dict.fromkeys(SEED, SEED_ODDS)
-    per_term = sample.mapInPandas(run, "term string, y int, n long").groupBy("term").agg(
-        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c")
-    )
-    expected = lambda n, share: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / ((F.col("t") + F.col("c")) * F.lit(share)))).otherwise(0.0)
-    surprise = 2 * (expected("t", toxic / (toxic + other)) + expected("c", other / (toxic + other)))
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (other + 1))
-    kept = per_term.where("t >= 3").withColumn("odds", odds).where((F.col("odds") >= 3) & (surprise >= SURPRISE)).orderBy(F.desc("odds"), "term").limit(LEXICON)
-    return dict.fromkeys(SEED, SEED_ODDS) | {r["term"]: float(r["odds"]) for r in kept.select("term", "odds").collect()}
+            counts: dict[tuple[int, int], Counter] = {}
+            for text, y, k in zip(b["text"], b["y"], b["fold"], strict=True):
+                counts.setdefault((int(y > 0), int(k)), Counter()).update(terms(text))
+            yield pd.DataFrame([(w, y, k, c) for (y, k), x in counts.items() for w, c in x.items()], columns=["term", "y", "fold", "n"])
+
+    sizes = {(int(r["y"]), r["fold"]): r["n"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y"), "fold").agg(F.count("*").alias("n")).collect()}
+    found = sample.mapInPandas(run, "term string, y int, fold int, n long")
+    part = lambda y, k: F.sum(F.when((F.col("y") == y) & (F.col("fold") != k), F.col("n")).otherwise(0))
+    counted = found.groupBy("term").agg(*[part(y, k).alias(f"{'ct'[y]}{k}") for y in (0, 1) for k in range(FOLDS + 1)]).where(f"t{FOLDS} >= 3")
+    counted = stored(counted, "toxic-terms")
+    out = []
+    for k in range(FOLDS + 1):  # no row is in the last fold: it leaves none out
+        toxic, other = (sum(n for (y, f), n in sizes.items() if y == label and f != k) for label in (1, 0))
+        learnt: dict[str, float] = {}
+        if toxic and other:
+            t, c = F.col(f"t{k}"), F.col(f"c{k}")
+            expected = lambda n, share: F.when(n > 0, n * F.log(n / ((t + c) * F.lit(share)))).otherwise(0.0)  # noqa: B023, E731
+            surprise = 2 * (expected(t, toxic / (toxic + other)) + expected(c, other / (toxic + other)))
+            odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (other + 1))
+            kept = counted.where(t >= 3).withColumn("odds", odds).where((F.col("odds") >= 3) & (surprise >= SURPRISE)).orderBy(F.desc("odds"), "term").limit(LEXICON)
+            learnt = {r["term"]: float(r["odds"]) for r in kept.select("term", "odds").collect()}
+        out.append(dict.fromkeys(seed, SEED_ODDS) | learnt)
+    return out
 
 
 class Model:
@@ -135,19 +147,21 @@ class Model:
         return self.trees.score(np.array([features(t, lexicon) for t in texts], dtype=float))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
-    sample = labelled_sample(docs, labels, "toxic", rows, "toxic-sample")
-    odds = learn_lexicon(sample)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: tuple[str, ...] = SEED) -> Model:
+    """Lexicon and trees over all of the sample; the calibration is learnt on folds that neither lexicon nor trees have seen."""
+    sample = labelled_sample(docs, labels, "toxic", rows, "toxic-sample").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int"))
+    lexicons = learn_lexicons(sample, seed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(odds)
+        held = [Lexicon(odds) for odds in lexicons]
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": (b["y"] > 0).astype(int), "x": [features(t, lexicon) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": (b["y"] > 0).astype(int), "fold": b["fold"], "x": [sum((features(t, x) for x in held), []) for t in b["text"]]})
 
-    # at most ``rows`` rows of 15 numbers
-    got = sample.mapInPandas(run, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
-    x = np.array(got["x"].tolist(), dtype=float)
-    return Model(odds, Calibrated().fit(x, got["y"].to_numpy(dtype=float)))
+    # at most ``rows`` rows of 15 numbers for each lexicon
+    got = sample.mapInPandas(run, "doc_id long, y int, fold int, x array<double>").toPandas().sort_values("doc_id")
+    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), FOLDS + 1, FEATURES)
+    trees = Calibrated(folds=FOLDS).fit(x[:, FOLDS], got["y"].to_numpy(dtype=float), got["fold"].to_numpy(), [x[:, k] for k in range(FOLDS)])
+    return Model(lexicons[FOLDS], trees)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
