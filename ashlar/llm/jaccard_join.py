@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import stored, table
+from ashlar.llm.common import forget, join_hot, stored, table
 from ashlar.llm.components import components
 
 SHINGLE = 5
@@ -277,16 +277,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return pd.Series(list(band_keys(np.stack([np.frombuffer(s, dtype="<u4") for s in sigs])))) if len(sigs) else pd.Series([], dtype=object)
 
     banded = nodes.select("node", F.explode(keys("sig")).alias("key"))
-    least = banded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = banded.join(least, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    least = stored(banded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"), "jaccard-bands")
+    edges = join_hot(banded, least, "key", "n").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     near = components(edges)
+    forget(least)
 
     near = near.join(classes.select("node", "h", "doc_id", "chars"), "node")
     sizes = near.groupBy("root").agg(F.count("*").alias("size"), F.sum("chars").alias("all_chars"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all_chars") / BLOCK_CHARS)).cast("int")
-    dealt = near.join(sizes, "root").withColumn("blocks", F.greatest(blocks, F.lit(1))).withColumn(
-        "block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    )
+    sizes = stored(sizes.select("root", "size", F.greatest(blocks, F.lit(1)).alias("blocks")), "jaccard-sizes")
+    dealt = join_hot(near, sizes, "root", "size").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     members = dealt.join(nodes, "node")
     # candidates' texts: each by (id, hash of text), whichever of the rows that repeat
     wanted = members.select("doc_id", "h").distinct()
@@ -300,14 +300,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ).select("*", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     found = tiles.groupBy("root", "i", "j").applyInPandas(lambda b: tile_links(b, threshold), "node long, other long, links long")
     found = stored(found, "jaccard-links")
+    forget(sizes)
 
     links = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     labelled = classes.select("cls", "node", "rows", "least_id").join(links, "node", "left").join(roots, "node", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "node"))
-    least_ids = labelled.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    per_class = labelled.join(least_ids, "root").select("cls", "root", "class_id", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "h", "row_id", "cls").join(per_class, "cls").select("doc_id", "h", "row_id", "root", "class_id", "n_links")
+    labelled = stored(labelled, "jaccard-labelled")
+    least_ids = stored(labelled.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n")), "jaccard-ids")
+    per_class = join_hot(labelled, least_ids, "root", "n").select("cls", "rows", "root", "class_id", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    per_class = stored(per_class, "jaccard-per-class")
+    forget(labelled)
+    return join_hot(signed.select("doc_id", "h", "row_id", "cls"), per_class, "cls", "rows").select("doc_id", "h", "row_id", "root", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
