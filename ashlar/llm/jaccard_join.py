@@ -276,10 +276,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def keys(sigs: pd.Series) -> pd.Series:
         return pd.Series(list(band_keys(np.stack([np.frombuffer(s, dtype="<u4") for s in sigs])))) if len(sigs) else pd.Series([], dtype=object)
 
-    banded = nodes.select("node", F.explode(keys("sig")).alias("key"))
+    banded = stored(nodes.select("node", F.explode(keys("sig")).alias("key")), "jaccard-banded")
     least = stored(banded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"), "jaccard-bands")
     edges = join_hot(banded, least, "key", "n").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     near = components(edges)
+    forget(banded)
     forget(least)
 
     near = near.join(classes.select("node", "h", "doc_id", "chars"), "node")
