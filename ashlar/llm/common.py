@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,14 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Hands memory that is free in this worker back to the system: workers live on, beside others, when their task is over."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there is none but with the GNU library
+    if trim is not None:
+        trim(0)
+
+
 #: Keys with more than a ``HOT_KEYS``-th of all rows are joined apart: there are fewer than ``HOT_KEYS`` of them.
 HOT_KEYS = 4096
 HOT_LEAST = 256

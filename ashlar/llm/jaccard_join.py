@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import forget, join_hot, stored, table
+from ashlar.llm.common import forget, give_back, join_hot, stored, table
 from ashlar.llm.components import components
 
 SHINGLE = 5
@@ -43,7 +43,9 @@ STEP = 16
 TOLERANCE = 1e-7
 BLOCK = 256
 BLOCK_CHARS = 8_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
+#: Documents that are signed at once.
+DOCS = 1_024
 #: Shingle columns that a dense comparison holds at once.
 COLUMNS = 16_384
 
@@ -226,6 +228,8 @@ def tile_links(b: pd.DataFrame, threshold: float, bands: int = BANDS, rows_in_ba
         left, right = left[near], right[near]
     np.add.at(links, left, rows[right])
     np.add.at(links, right, rows[left])
+    del known, sets
+    give_back()
     met = np.flatnonzero(links)
     forest = _forest(len(b), left, right)
     out = pd.DataFrame(
@@ -252,16 +256,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, hashes = WordHashes(), MinHash()
-        for b in batches:
-            sets = [shingles(t, known) for t in b["text"]]
-            full = [s for s in sets if len(s)]
-            sigs = iter(hashes.signatures(full)) if full else iter(())
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "chars": b["chars"], "cls": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                    "sig": [next(sigs).astype("<u4").tobytes() if len(s) else None for s in sets],
-                }
-            )
+        for whole in batches:
+            for lo in range(0, len(whole), DOCS):
+                b = whole.iloc[lo : lo + DOCS]
+                sets = [shingles(t, known) for t in b["text"]]
+                full = [s for s in sets if len(s)]
+                sigs = iter(hashes.signatures(full)) if full else iter(())
+                yield pd.DataFrame(
+                    {
+                        "doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "chars": b["chars"], "cls": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                        "sig": [next(sigs).astype("<u4").tobytes() if len(s) else None for s in sets],
+                    }
+                )
+        known.clear()
+        give_back()
 
     signed = rows.mapInPandas(sign, "doc_id long, h long, chars long, cls binary, sig binary").withColumn("row_id", F.monotonically_increasing_id())
     signed = stored(signed, "jaccard-signed")

@@ -31,13 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import stored, table
+from ashlar.llm.common import give_back, stored, table
 
 WINDOW = 2048
 END_ID = 1
 TRIPLES_OF = 48
 SHARDS = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def default_model() -> str:
@@ -117,6 +117,7 @@ def encode_documents(docs: DataFrame, text: str, doc_id: str, model: str) -> Dat
         for b in batches:
             ids = [enc.encode(t) + end for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": [len(x) // 2 for x in ids], "ids": ids})
+        give_back()
 
     return docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInPandas(run, "doc_id long, n long, ids binary")
 

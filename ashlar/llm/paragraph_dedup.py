@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import forget, join_hot, stored, table
+from ashlar.llm.common import forget, give_back, join_hot, stored, table
 from ashlar.llm.components import components
 from ashlar.llm.jaccard_join import BLOCK, SHINGLE, THRESHOLD, MinHash, WordHashes, band_keys, shingles
 from ashlar.llm.jaccard_join import _mix as mix64
@@ -248,6 +248,7 @@ def cut_up(rows: DataFrame) -> DataFrame:
                 words += len(x.h)
             if held:
                 yield given(held)
+        give_back()
 
     return rows.mapInPandas(run, "row_id long, doc_id long, at int, start int, end int, words int, wide boolean, cls long, keys array<long>")
 
@@ -271,6 +272,7 @@ def wordings(rows: DataFrame) -> DataFrame:
                 if len(seen) > SEEN:
                     seen.clear()
             yield pd.DataFrame({"cls": np.array(cls, dtype=np.int64), "text": pd.Series(text, dtype=object)})
+        give_back()
 
     return rows.select("text").mapInPandas(run, "cls long, text string")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ashlar.llm.boosting import Calibrated
-from ashlar.llm.common import held_out, labelled_sample, stored, table
+from ashlar.llm.common import give_back, held_out, labelled_sample, stored, table
 
 SAMPLE = 12_000
 STEMS = (4, 5, 6)
@@ -38,7 +38,7 @@ FEATURES = 15
 #: Least log-likelihood ratio of a term's counts, so that terms are not learnt by chance out of some 100,000.
 SURPRISE = 22.0
 THRESHOLD = 0.5
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 WORDS = re.compile(r"[^\W\d_]+")
 MIXED = re.compile(r"(?<![^\s])(?=[^\s]*[0-9@$!*#])[^\W\d_]+[0-9@$!*#]+[^\W_][^\s]*")
@@ -116,6 +116,8 @@ def learn_lexicons(sample: DataFrame, seed: tuple[str, ...] = SEED) -> list[dict
             for text, y, k in zip(b["text"], b["y"], b["fold"], strict=True):
                 counts.setdefault((int(y > 0), int(k)), Counter()).update(terms(text))
             yield pd.DataFrame([(w, y, k, c) for (y, k), x in counts.items() for w, c in x.items()], columns=["term", "y", "fold", "n"])
+            counts.clear()
+        give_back()
 
     sizes = {(int(r["y"]), r["fold"]): r["n"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y"), "fold").agg(F.count("*").alias("n")).collect()}
     found = sample.mapInPandas(run, "term string, y int, fold int, n long")
@@ -155,7 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: tuple[str,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [Lexicon(odds) for odds in lexicons]
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": (b["y"] > 0).astype(int), "fold": b["fold"], "x": [sum((features(t, x) for x in held), []) for t in b["text"]]})
+            found = []
+            for lexicon in held:  # one after the other, so that one alone has its known words in memory
+                found.append(np.array([features(t, lexicon) for t in b["text"]], dtype=float).reshape(len(b), FEATURES))
+                lexicon.clear()
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": (b["y"] > 0).astype(int), "fold": b["fold"], "x": list(np.concatenate(found, axis=1))})
+        give_back()
 
     # at most ``rows`` rows of 15 numbers for each lexicon
     got = sample.mapInPandas(run, "doc_id long, y int, fold int, x array<double>").toPandas().sort_values("doc_id")
@@ -171,6 +178,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
         lexicon = Lexicon(model.odds)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "toxicity": model.scores(b["text"], lexicon)})
+        lexicon.clear()
+        give_back()
 
     return docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInPandas(run, "doc_id long, toxicity double")
 
@@ -185,6 +194,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
         lexicon = Lexicon(model.odds)
         for texts in batches:
             yield pd.Series(model.scores(texts, lexicon))
+        lexicon.clear()
+        give_back()
 
     return docs.where(toxicity(F.col(text)) < threshold)
 
