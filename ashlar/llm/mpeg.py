@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from ashlar.llm.common import table
+from ashlar.llm.common import stored, table
 
 # Fixed values of the format: kbit/s by index and sampling rates, MPEG-1 and MPEG-2/2.5, Layer III.
 BITRATES_1 = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -269,7 +269,7 @@ def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             both = [payload_of(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [n for n, _ in both], "media": [mux(p) for _, p in both]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_bytes": [n for n, _ in both], "media": [mux(p) for _, p in both]})
 
     return docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
 
@@ -295,7 +295,8 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(media_columns(table(spark, sf_dir, "documents")))
+    # the media are written, and features come from what is read back
+    return media_features(stored(media_columns(table(spark, sf_dir, "documents")), "media"))
 
 
 QUERIES = {"op2_mpeg_audio": op2_mpeg_audio}
