@@ -150,9 +150,16 @@ def inet_aton(s: Column) -> Column:
     return F.when((F.size(p) == 4), part(0) * (1 << 24) + part(1) * (1 << 16) + part(2) * (1 << 8) + part(3))
 
 
-def inet_ntoa(n: Column) -> Column:
+def dotted(n: Column) -> Column:
+    """Four parts with dots: the last three have eight bits each, the first has what is left, also beyond 255."""
     n = n.cast("long")
-    return F.when(n.between(0, (1 << 32) - 1), F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]))
+    parts = [F.shiftright(n, 24), *[F.shiftright(n, s).bitwiseAND(F.lit(255)) for s in (16, 8, 0)]]
+    return F.when(n.isNotNull(), F.concat_ws(".", *[p.cast("string") for p in parts]))
+
+
+def inet_ntoa(n: Column) -> Column:
+    """NULL for a number that is no address of 32 bits."""
+    return F.when(n.cast("long").between(0, (1 << 32) - 1), dotted(n))
 
 
 def password(s: Column) -> Column:
