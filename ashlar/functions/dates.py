@@ -88,8 +88,8 @@ def sec_to_time(n: Column) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), held)
 
 
-def parse_time(s: Column) -> Column:
-    """TIME from text: ``[d ]h:m[:s]``, ``hhmmss`` digits, held within 838:59:59; NULL if minutes or seconds pass 59."""
+def text_to_sec(s: Column) -> Column:
+    """Seconds of ``[d ]h:m[:s]`` or ``hhmmss`` digits, however many; NULL if minutes or seconds pass 59."""
     day = F.coalesce(F.regexp_extract(s, r"^\s*(\d+) +\d+", 1).try_cast("long"), F.lit(0))
     rest = F.regexp_replace(s, r"^\s*\d+ +", "")
     colon = rest.contains(":")
@@ -98,7 +98,12 @@ def parse_time(s: Column) -> Column:
     sec = F.when(colon, F.coalesce(F.regexp_extract(rest, r"^\d+:\d+:(\d+)", 1).try_cast("long"), F.lit(0)))
     digits = F.regexp_extract(rest, r"^(\d+)", 1).try_cast("long")
     h, m, sec = F.coalesce(h, F.floor(digits / 10000)), F.coalesce(m, F.floor(digits / 100) % 100), F.coalesce(sec, digits % 100)
-    total = F.when((m < 60) & (sec < 60), (day * 24 + h) * 3600 + m * 60 + sec)
+    return F.when((m < 60) & (sec < 60), (day * 24 + h) * 3600 + m * 60 + sec)
+
+
+def parse_time(s: Column) -> Column:
+    """TIME from text as ``text_to_sec`` reads it, held within 838:59:59."""
+    total = text_to_sec(s)
     return F.when(total.isNotNull(), sec_to_time(total))
 
 

@@ -3,6 +3,9 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from ashlar.functions import dates
 from ashlar.plans import registry
 
 
@@ -26,3 +29,14 @@ def same(spark, tmp_path):
 
 def test_addresses_beyond_32_bits(same):
     same("inet_and_hash", "customer", "SELECT unnest([0, 1, 65534, 65535, 65536, 65537, 90000, 5400000, 1000000000000, NULL])::BIGINT AS c_custkey, 'Customer#' || coalesce(c_custkey, 0) AS c_name")
+
+
+def test_times_beyond_839_hours(same):
+    same("load_types", "supplier", "SELECT unnest([0, 1, 837, 838, 839, 6000, 360000, 1000000000000])::BIGINT AS s_suppkey, 4703.96::DOUBLE AS s_acctbal")
+
+
+def test_a_time_is_still_held(spark):
+    from ashlar.sources import delimited
+
+    got = delimited.parse_fields(spark.createDataFrame([("838:59:58",), ("839:02:05",), ("839:60:00",)], "t string"), {"t": "time"}).select(dates.time_to_sec(F.col("t")))
+    assert [r[0] for r in got.collect()] == [dates.LONGEST_TIME - 1, dates.LONGEST_TIME, None]
