@@ -244,8 +244,17 @@ TEMPLATES = {
 }
 
 
+def _formatted(name: str, x: str, fmt: str, is_late: str) -> str:
+    usual, late = (f"{name}({x}, {literal(dates.pattern(fmt, late=after))})" for after in (False, True))
+    return usual if usual == late else f"(CASE WHEN {is_late} THEN {late} ELSE {usual} END)"
+
+
 def _format(x: tuple, fmt: tuple) -> str:
-    return f"date_format({x[0]}, {literal(dates.pattern(fmt[1]))})"
+    return _formatted("date_format", x[0], fmt[1], f"year(CAST({x[0]} AS TIMESTAMP)) > 9999")
+
+
+def _from_unixtime(n: tuple, fmt: tuple = ("", "%Y-%m-%d %H:%i:%s")) -> str:
+    return _formatted("from_unixtime", n[0], fmt[1], f"CAST({n[0]} AS BIGINT) >= unix_seconds(TIMESTAMP'+10000-01-01 00:00:00')")
 
 
 def _shifted(sign: str):
@@ -265,7 +274,7 @@ def _time_format(t: tuple, fmt: tuple = ("", "%H:%i:%s")) -> str:
 #: Functions that look at literals: arguments are (text, value).
 WITH_VALUES = {
     "date_format": _format, "str_to_date": lambda s, fmt: f"try_to_timestamp({s[0]}, {literal(dates.pattern(fmt[1]))})",
-    "from_unixtime": lambda n, fmt=None: f"from_unixtime({n[0]}" + (f", {literal(dates.pattern(fmt[1]))})" if fmt else ")"),
+    "from_unixtime": _from_unixtime,
     "date_add": _shifted(""), "adddate": _shifted(""), "date_sub": _shifted("-"), "subdate": _shifted("-"),
     "week": lambda d, mode=("0", "0"): week(d[0], int(mode[1])), "yearweek": lambda d, mode=("0", "0"): yearweek(d[0], int(mode[1])),
     "time": lambda x: _time(*x) if x[0].startswith("'") else f"(CAST({x[0]} AS TIMESTAMP_NTZ) - date_trunc('DAY', CAST({x[0]} AS TIMESTAMP_NTZ)))",

@@ -15,14 +15,14 @@ LONGEST_TIME = 838 * 3600 + 59 * 60 + 59
 YEAR_ZERO_DAYS = 366
 
 
-def pattern(fmt: str) -> str:
-    """A format as a pattern; letters outside % marks are quoted."""
+def pattern(fmt: str, late: bool = False) -> str:
+    """A format as a pattern; letters outside % marks are quoted.  ``late`` is for years past 9999, which Spark's yyyy gives a plus sign."""
     out, i, text = "", 0, ""
     while i < len(fmt):
         if fmt[i] == "%" and i + 1 < len(fmt):
             if text:
                 out, text = out + "'" + text.replace("'", "''") + "'", ""
-            out += FORMATS.get(fmt[i : i + 2], fmt[i + 1])
+            out += "y" if late and fmt[i + 1] == "Y" else FORMATS.get(fmt[i : i + 2], fmt[i + 1])
             i += 2
         else:
             if fmt[i].isalpha() or fmt[i] == "'":
@@ -36,7 +36,9 @@ def pattern(fmt: str) -> str:
 
 
 def date_format(d: Column, fmt: str) -> Column:
-    return F.date_format(d, pattern(fmt))
+    usual, late = pattern(fmt), pattern(fmt, late=True)
+    text = F.date_format(d, usual)
+    return text if usual == late else F.when(F.year(d.cast("timestamp")) > 9999, F.date_format(d, late)).otherwise(text)
 
 
 def str_to_date(s: Column, fmt: str) -> Column:

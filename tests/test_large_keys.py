@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from ashlar import dialect
 from ashlar.functions import dates
 from ashlar.plans import registry
 
@@ -40,3 +41,23 @@ def test_a_time_is_still_held(spark):
 
     got = delimited.parse_fields(spark.createDataFrame([("838:59:58",), ("839:02:05",), ("839:60:00",)], "t string"), {"t": "time"}).select(dates.time_to_sec(F.col("t")))
     assert [r[0] for r in got.collect()] == [dates.LONGEST_TIME - 1, dates.LONGEST_TIME, None]
+
+
+def test_years_past_9999(same):
+    same("text_dates", "orders", "SELECT unnest([0, 24855, 2932896, 2932897, 9000000, 54000000, NULL])::BIGINT AS o_orderkey, TIMESTAMP '1996-02-29 00:00:00' AS o_orderdate")
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("from_unixtime(253402300799)", "9999-12-31 23:59:59"), ("from_unixtime(253402300800)", "10000-01-01 00:00:00"), ("from_unixtime('253402300800', 'in %Y')", "in 10000"), ("from_unixtime(NULL, '%Y')", None),
+        ("date_format(from_days(4000000), '%d.%m.%Y')", "18.08.10951"), ("date_format(from_days(300000), '%Y')", "0821"), ("date_format('1997-12-31 23:59:59', '%Y %H')", "1997 23"), ("date_format(NULL, '%Y')", None),
+    ],
+)
+def test_formats_of_late_years(spark, text, want):
+    assert dialect.query(spark, f"SELECT {text}").first()[0] == want
+
+
+def test_format_of_a_late_column(spark):
+    day = F.date_add(F.lit("9999-12-31").cast("date"), F.col("id").cast("int"))
+    assert [r[0] for r in spark.range(2).select(dates.date_format(day, "%Y/%c")).collect()] == ["9999/12", "10000/1"]
