@@ -61,3 +61,21 @@ def test_formats_of_late_years(spark, text, want):
 def test_format_of_a_late_column(spark):
     day = F.date_add(F.lit("9999-12-31").cast("date"), F.col("id").cast("int"))
     assert [r[0] for r in spark.range(2).select(dates.date_format(day, "%Y/%c")).collect()] == ["9999/12", "10000/1"]
+
+
+def test_the_sketch_is_not_carried_by_keys(spark, sf_dir):
+    found = registry.QUERIES["approx_distinct_bound"](spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keyed = [x for x in plan.splitlines() if "keys=[o_custkey" in x]
+    assert keyed and not any("approx_count_distinct" in x for x in keyed)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    about = lambda df: df.agg(F.approx_count_distinct("o_custkey", 0.02)).first()[0]
+    assert about(orders) == about(orders.select("o_custkey").distinct())
+
+
+def test_counts_of_few_keys(same):
+    same("approx_distinct_bound", "orders", "SELECT unnest([NULL, NULL, 7, 7, -1, 5400000])::BIGINT AS o_custkey")
+
+
+def test_counts_of_no_keys(same):
+    same("approx_distinct_bound", "orders", "SELECT 1::BIGINT AS o_custkey WHERE false")
